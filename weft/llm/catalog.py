@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_text, lang_id, quality, secret_scan
+from weft.llm import bpe, html_text, lang_id, quality, rp_forest, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +19,16 @@ def _span_text(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inner product."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
+def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every whole text."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +75,8 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
+    "op4_embedding_duplicates": op4_embedding_duplicates,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_languages": op8_languages,
