@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_text, lang_id, quality, rp_forest, secret_scan
+from weft.llm import bpe, html_text, lang_id, quality, rp_forest, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Texts can be long: small Arrow batches bound what a Python worker holds at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +26,11 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps once repeated windows of 35 words are gone."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
@@ -32,7 +39,7 @@ def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every whole text."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), path, decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -76,6 +83,7 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
+    "op2_substrings": op2_substrings,
     "op4_embedding_duplicates": op4_embedding_duplicates,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
