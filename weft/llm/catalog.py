@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_text, lang_id, quality, rp_forest, secret_scan, substring_dedup
+from weft.llm import bpe, html_text, lang_id, ngram_join, quality, rp_forest, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9."""
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
@@ -84,6 +89,7 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_substrings": op2_substrings,
+    "op3_ngram_join": op3_ngram_join,
     "op4_embedding_duplicates": op4_embedding_duplicates,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
