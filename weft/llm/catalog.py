@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_text, lang_id, ngram_join, quality, rp_forest, secret_scan, substring_dedup
+from weft.llm import bpe, html_text, lang_id, mixing, ngram_join, quality, rp_forest, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and copies of every document in a mix of near-even sources, as large as the corpus."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every whole text."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_ngram_join": op3_ngram_join,
     "op4_embedding_duplicates": op4_embedding_duplicates,
+    "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_languages": op8_languages,

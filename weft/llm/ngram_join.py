@@ -34,8 +34,13 @@ CLASSES = 16
 FREQUENT = 64
 #: Pairs for each open member of a bucket, beyond which pivots are tried first.
 PAIRS_A_MEMBER = 8
-#: Sets of up to so many shingles use one class, sets of SMALL_TO / LARGE_FROM or more all of them; in between both, as partners' sizes differ.
-SMALL_TO, LARGE_FROM = 48, 40
+#: Sets of so many shingles or more use all classes.
+LARGE_FROM = 40
+
+
+def small_to(percent: int) -> int:
+    """Sets of up to so many use one class. Those from LARGE_FROM on do both, as the sizes of partners differ."""
+    return -(-LARGE_FROM * 100 // percent)
 
 
 def shingle_set(memo: WordHashes, text: str | None, size: int) -> np.ndarray:
@@ -58,7 +63,7 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: in
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
     keys, bounds, rare_seen = [], [], 0
-    for classes in [1] * (n <= SMALL_TO) + [CLASSES] * (n >= LARGE_FROM):
+    for classes in [1] * (n <= small_to(percent)) + [CLASSES] * (n >= LARGE_FROM):
         length = min(n, prefix_length(n, percent) + classes)
         rare = int(np.searchsorted(counts[:length], limit, "right"))
         rare_seen = max(rare_seen, rare)
