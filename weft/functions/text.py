@@ -151,7 +151,8 @@ def token_estimate(text: Column | str) -> Column:
 def majors_behind(current: Column | str, latest: Column | str) -> Column:
     """Major versions between two, 0 at least, null when one has none."""
     major = lambda x: F.expr("try_cast(nullif(regexp_extract({0}, '^[^0-9]*([0-9]+)', 1), '') as int)".format(x))
-    return F.greatest(F.lit(0), major(latest) - major(current))
+    behind = major(latest) - major(current)
+    return F.when(behind < 0, 0).otherwise(behind)
 
 
 def version_key(version: Column | str) -> Column:
