@@ -1,0 +1,205 @@
+"""Secret scans, language identification, quality, HTML extraction, BPE: brute force, round trips, odd rows."""
+
+import random
+import re
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from weft.llm import bpe, html_text, lang_id, quality, secret_scan
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def docs_of(spark, data, extra=False):
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    return df.withColumn("id", F.lit(1)).withColumn("found", F.lit("x")).withColumn("uid", F.lit("y")) if extra else df
+
+
+# ---- secrets
+
+
+def spans_by_rule(text):
+    """The base patterns as they are stated, each kind on its own."""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 20:
+            found.append((m.start(), 1, "access", m.end()))
+    for m in re.finditer("[0-9a-f]+", text):
+        if len(m[0]) >= 24:
+            found.append((m.start(), 2, "hex", m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(5)
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "=", ":", " ", '"', "'", "abc123", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef01234567", "é", "ſecret", "\n", "x"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [x[:3] for x in secret_scan.base_spans(text)] == spans_by_rule(text), text
+
+
+def test_ownership_separates_examples_from_live_values(spark):
+    live, shared = "q9Zk3LmP0aXw7RtY2uVb5NcD8eFh1GjK", "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6"
+    data = [(1, f"x {live} y", "en", "a"), (2, f"z {live}", "en", "a"), (3, f"{shared}", "en", "a"), (4, f"{shared}", "en", "b"), (5, f"{shared}", "en", "c"), (6, None, None, None), (7, "", "en", "a"), (1, f"x {live} y", "en", "a")]
+    got = sorted(((r.doc_id, len(r.base), [tuple(x) for x in r.all], r.n_live, r.n_example) for r in secret_scan.find_secrets(docs_of(spark, data, True)).collect()), key=repr)
+    assert got == [
+        (1, 0, [("extra", 2, 34)], 1, 0),
+        (1, 0, [("extra", 2, 34)], 1, 0),
+        (2, 0, [("extra", 2, 34)], 1, 0),
+        (3, 0, [], 0, 1),
+        (4, 0, [], 0, 1),
+        (5, 0, [], 0, 1),
+        (6, 0, [], 0, 0),
+        (7, 0, [], 0, 0),
+    ]
+    assert secret_scan.find_secrets(docs_of(spark, data).where("false")).count() == 0
+
+
+def test_redaction(spark):
+    data = [(1, 'a token = "abcdef123" b', "en", "s"), (2, None, None, None), (3, "f" * 30, "en", "s"), (4, "password: " + "0123456789abcdef" * 2, "en", "s")]
+    got = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs_of(spark, data)).collect()}
+    assert got == {1: 'a [SECRET]" b', 2: None, 3: "[SECRET]", 4: "[SECRET]"}
+
+
+# ---- languages
+
+
+def test_language_held_out_accuracy(spark):
+    rng = random.Random(1)
+    words = {"en": ["the", "with", "thing", "house"], "de": ["der", "nicht", "schön", "haus"], "fr": ["le", "avec", "être", "maison"]}
+    data = [(i, " ".join(rng.choice(words[g]) for _ in range(12)), g, "s") for i in range(240) for g in [rng.choice("en de fr".split())]]
+    docs = docs_of(spark, data, True)
+    model = lang_id.fit_languages(docs.where("doc_id % 4 <> 2"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict_languages(docs, model).collect()}
+    held = [(g, got[i]) for i, _, g, _ in data if i % 4 == 2]
+    assert sum(g == p for g, (p, _) in held) / len(held) > 0.98
+    assert all(0 <= s <= 1 for _, s in got.values())
+
+
+def test_language_odd_rows(spark):
+    docs = docs_of(spark, [(1, None, "en", None), (2, "", "en", None), (3, "123 !?", None, None), (None, "the house", None, None), (4, "a" * 600_000, None, None), (5, "the house", "en", "s")])
+    model = lang_id.fit_languages(docs)
+    got = [(r.doc_id, r.lang_pred) for r in lang_id.predict_languages(docs, model).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "en"), (5, "en")], key=repr)
+    nothing = lang_id.fit_languages(docs.where("false"))
+    assert {r.lang_pred for r in lang_id.predict_languages(docs, nothing).collect()} == {"und"}
+    assert lang_id.predict_languages(docs.where("false"), model).count() == 0
+
+
+def test_language_slices_add_up():
+    text = "".join(random.Random(2).choice("abc é") for _ in range(5000))
+    codes = lang_id.Folded().codes(text)
+    import numpy as np
+
+    model = lang_id.LanguageModel(["x"], np.random.default_rng(0).normal(size=(lang_id.BUCKETS, 1)).astype(np.float32), np.zeros(1))
+    whole = model.score(codes)
+    old, lang_id.SLICE = lang_id.SLICE, 777
+    try:
+        assert np.allclose(model.score(codes), whole, rtol=1e-5)
+    finally:
+        lang_id.SLICE = old
+
+
+# ---- quality
+
+
+def test_quality_held_out_and_odd_rows(spark):
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice("the house was built by people who liked long walks near water".split()) + rng.choice(["", "", "."]) for _ in range(rng.randint(20, 80)))
+    bad = lambda: " | ".join(rng.choice("BUY NOW CHEAP PILLS".split()) + "!!" for _ in range(rng.randint(20, 80)))
+    truth = {i: int(rng.random() < 0.7) for i in range(300)}
+    data = [(i, good() if q else bad(), "en", "s") for i, q in truth.items()] + [(900, None, None, None), (901, "", None, None), (None, good(), None, None)]
+    docs = docs_of(spark, data, True)
+    labels = spark.createDataFrame([(i, q) for i, q in truth.items() if i % 3 != 1] + [(5, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    assert model.rules and len(model.rules) < 200
+    scored = quality.score_quality(docs, model).collect()
+    assert len(scored) == len(data) and all(0 <= r.score <= 1 for r in scored)
+    held = [(truth[r.doc_id], r.score >= 0.5) for r in scored if r.doc_id in truth and r.doc_id % 3 == 1]
+    assert sum(bool(q) == p for q, p in held) / len(held) > 0.97
+    kept = quality.keep_quality(docs, model)
+    assert kept.columns == docs.columns
+    assert quality.score_quality(docs.where("false"), model).count() == 0
+
+
+def test_quality_with_few_labels(spark):
+    docs = docs_of(spark, [(1, "a b c", "en", "s"), (2, "d e f", "en", "s")])
+    none = quality.fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
+    one = quality.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"))
+    assert {round(r.score, 3) for r in quality.score_quality(docs, one).collect()} == {0.75}
+
+
+def test_tree_paths_are_conjunctions():
+    printed = "M (uid=x)\n  If (feature 0 <= 1.5)\n   If (feature 0 <= 0.5)\n    Predict: 0.0\n   Else (feature 0 > 0.5)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
+    name = quality.STATS[0]
+    assert quality.tree_rules(printed) == [((name, False, 1.5),), ((name, False, 0.5),), ((name, False, 1.5), (name, True, 0.5)), ((name, True, 1.5),)]
+
+
+# ---- html
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies on this site and the like.</div>
+<article><h1>A title &amp; more</h1><p><b>Bold start of the text that is long enough to count as prose for the rules we have.<br><p>Second   paragraph
+with the words of the house and the water in it, which is long enough.</p><p>Short.</p><div class="share">Share this</div><form>Name <input></form></article>
+<aside>Related stories of the day for you and the others who are here.</aside><section id="comments"><p>I liked the text of the article and the words in it.</p></section>
+<footer>&copy; The owner of the site and the rest</footer></body>"""
+
+
+def test_article_text(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (3, "w", ""), (4, "x", "<p>unclosed <b>tag &lt;i&gt;"), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = sorted(((r.page_id, r.text) for r in html_text.extract_pages(pages).collect()), key=repr)
+    article = "A title & more\n\nBold start of the text that is long enough to count as prose for the rules we have.\n\nSecond paragraph with the words of the house and the water in it, which is long enough.\n\nShort."
+    assert got == [(1, article), (1, article), (2, ""), (3, ""), (4, "unclosed tag <i>")]
+    assert html_text.extract_pages(pages.where("false")).count() == 0
+
+
+def test_page_without_article_inherits_from_neighbours():
+    words = frozenset("the of and in it is that".split())
+    long = "The text of the house is in the water and it is that which the rest of it is in and the like of it."
+    page = f"<div><a href='/'>Start</a> <a href='/b'>More of the site</a></div><div><p>{long}</p><p>Yes.</p><p>{long}</p></div><div><a href='/c'>Next</a></div>"
+    assert html_text.extract_text(page, words) == f"{long}\n\nYes.\n\n{long}"
+
+
+# ---- bpe
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_words_and_runs_equal_the_library(library):
+    own, rng = bpe.Encoder(PATH), random.Random(7)
+    parts = ["a", "the", "ing", "'s", "'S", "!", "1", "½", "é", "É", "Σ", "ς", "İ", "ß", " ", "\n", "\x1c", "\x85", "<|endoftext|>", "<|", "é", "日本", "😀", "​", "K", "&amp;"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text).tolist() == ids, text
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for _ in range(400):
+        word = "".join(rng.choice(rng.choice(["ab", "theingand", "éèêa", "aaab"])) for _ in range(rng.randint(1, 200)))
+        for w in own.run_words(word):
+            leaves = bpe.halves(w, rng.choice([1, 2, 5, 20]))
+            assert own.tree([own.leaf(x, i == len(leaves) - 1) for i, x in enumerate(leaves)]) == own.leaf(w, True), w
+
+
+def test_long_unsplit_texts(spark, library):
+    rng = random.Random(9)
+    run = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    texts = [None, "", "a b", run(5000, "abcd"), "x " + run(3000, "theinga") + " y<|endoftext|>" + run(2000, "ab1") + "  ", run(2000, "日本語éab"), (run(30, "abc") + " ") * 200, run(1500, "'st!a"), " " * 3000 + "end", "a b"]
+    docs = docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(texts)], True)
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode_texts(docs, PATH, leaf=64, long_text=2000, decode=True).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False)), i
+    back = bpe.decode_ids(bpe.encode_texts(docs, PATH), PATH)
+    assert {r.doc_id: r.decoded for r in back.collect()} == {i: x[1] for i, x in got.items()}
+    assert bpe.encode_texts(docs.where("false"), PATH).count() == 0
