@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-#: Texts, and runs without a split, beyond so many characters are cut.
-LEAF = 32_768
+#: A run without white space of so many characters is cut into leaves of at most so many.
+LEAF = 8_192
+#: A text of so many characters is cut into pieces whether it has such a run or not.
+LONG_TEXT = 1 << 20
 #: The tokenizer's white space, and the pattern of its words.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 GAPS = re.compile(f"[{WHITE}]+")
@@ -37,8 +39,9 @@ WORD_END = "</w>"
 #: Characters below this one are their own NFC form, and lower as the library lowers them.
 PLAIN = "\u0250"
 #: Entries of a worker's memo before it starts afresh.
-MEMO = 600_000
+MEMO = 250_000
 PIECE = T.StructType().add("seq", T.IntegerType()).add("run", T.IntegerType()).add("kind", "string").add("piece", "string")
+CODED = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -186,20 +189,27 @@ def pieces(own: Encoder, text: str, leaf: int) -> list[dict]:
     return [{"seq": i, "run": r, "kind": k, "piece": p} for i, (r, k, p) in enumerate(found)]
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), leaf: int = LEAF) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, path: str, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), leaf: int = LEAF, long_text: int = LONG_TEXT, decode: bool = False
+) -> DataFrame:
     """``keep_cols`` and ids array<int>: every whole text, encoded as the library encodes it.
 
-    Null and empty texts give no ids. Texts beyond ``leaf`` characters are encoded in
-    pieces by several tasks and joined as trees; a text's pieces meet in one task, as
-    its ids do in one row. Repeated rows give repeated results, columns besides
+    With ``decode``, a column decoded has what the ids decode to; one pass does both.
+    Null and empty texts give no ids. Texts with a run of ``leaf`` characters
+    without white space (and some from half as many), and texts of ``long_text`` or more, are encoded in pieces by
+    several tasks and joined as trees; a text's pieces meet in one task, as its ids do
+    in one row. Repeated rows give repeated results, columns besides
     ``keep_cols`` aren't read, an empty table gives no rows.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def coded(own: Encoder, ids: list) -> pd.DataFrame:
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([own.decode(x.tolist()) if decode else None for x in ids], dtype=object)})
+
+    @F.pandas_udf(CODED)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for texts in batches:
-            yield pd.Series([own.encode(x) for x in texts], dtype=object)
+            yield coded(own, [own.encode(x) for x in texts])
 
     @F.pandas_udf(T.ArrayType(PIECE))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -216,24 +226,29 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep_cols:
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, ids, run = encoder(path), [], []
         for kind, part in rows.sort_values("seq")[["kind", "part"]].itertuples(index=False):
-            if kind != "text":
-                run.append(list(part))
+            if kind == "text":
+                ids.append(np.asarray(part, np.int32))
+                continue
+            run.append(list(part))
             if kind == "end":
-                ids += own.tree(run)
+                ids.append(np.array(own.tree(run), np.int32))
                 run = []
-            elif kind == "text":
-                ids += list(part)
-        return pd.DataFrame({"uid": [key[0]], "ids": [ids]})
+        return coded(own, [np.concatenate(ids)]).assign(uid=key[0])
 
     rows = docs.select(F.struct(*keep_cols).alias("kept"), F.col(text_col).alias("text"))
-    is_long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    short = rows.where(~is_long).select("kept", encode("text").alias("ids"))
+    # A run of leaf characters fills a block of half as many; in other blocks the test ends at the first white space.
+    half = max(1, leaf // 2)
+    starts = F.sequence(F.lit(0), F.floor(F.length("text") / half).cast("int") - 1)
+    unsplit = (F.length("text") >= leaf) & F.exists(starts, lambda k: ~F.substr("text", k * half + 1, F.lit(half)).rlike(f"[{WHITE}]"))
+    is_long = F.coalesce((F.length("text") >= long_text) | unsplit, F.lit(False))
+    short = rows.where(~is_long).select("kept", encode("text").alias("coded")).select("kept", "coded.*")
     long = rows.where(is_long).withColumn("uid", F.monotonically_increasing_id())
     cut_up = long.select("uid", F.explode(cut("text")).alias("p")).select("uid", "p.*").repartition(F.col("uid"), F.col("seq"))
     parts = cut_up.select("uid", "seq", "kind", encode_pieces("kind", "piece").alias("part"))
-    joined = parts.groupBy("uid").applyInPandas(join, "uid long, ids array<int>")
-    whole = long.select("uid", "kept").join(joined, "uid", "left").select("kept", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return short.unionByName(whole).select("kept.*", "ids")
+    joined = parts.groupBy("uid").applyInPandas(join, "ids array<int>, decoded string, uid long")
+    blank = F.lit("") if decode else F.lit(None).cast("string")
+    whole = long.select("uid", "kept").join(joined, "uid", "left").select("kept", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("decoded", blank).alias("decoded"))
+    return short.unionByName(whole).select("kept.*", "ids", *["decoded"] * decode)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
