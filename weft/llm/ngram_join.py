@@ -28,6 +28,8 @@ from weft.llm.word_hash import WordHashes, mixed, pair, run_hashes, signed
 SKETCH_BITS = 20
 #: The sketch is summed in so many parts.
 SKETCH_PARTS = 64
+#: Bytes of the bitmap that tells which documents' sets are needed.
+MARK_BYTES = 1 << 20
 #: Classes of frequent tokens. Partners share more tokens than there are classes, hence two of one class.
 CLASSES = 16
 #: A token is frequent when its bucket holds so many documents more than the median bucket.
@@ -54,31 +56,31 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, most overlap that a first match at each key allows, number of rare tokens in the prefix).
+def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(keys, what each allows, rare tokens, frequent tokens of the prefix).
 
-    ``counts`` holds the sketch's count of each token, ``limit`` is where frequent ones begin.
+    ``tokens`` are sorted, ``counts`` holds the sketch's count of each, ``limit`` is
+    where frequent ones begin. A rare token allows an overlap of as many tokens as
+    stand from it on, if it is the first that two sets share; a combination says
+    nothing, which is 0.
     """
     n = len(tokens)
-    order = np.lexsort((tokens, counts))
+    all_classes = [1] * (n <= small_to(percent)) + [CLASSES] * (n >= LARGE_FROM)
+    most = min(n, prefix_length(n, percent) + max(all_classes))
+    rank = counts.astype(np.int64) * n + np.arange(n)  # by count, then by token
+    order = np.sort(np.partition(rank, most - 1)[:most]) % n
     tokens, counts = tokens[order], counts[order]
-    keys, bounds, rare_seen = [], [], 0
-    for classes in [1] * (n <= small_to(percent)) + [CLASSES] * (n >= LARGE_FROM):
-        length = min(n, prefix_length(n, percent) + classes)
-        rare = int(np.searchsorted(counts[:length], limit, "right"))
-        rare_seen = max(rare_seen, rare)
-        keys.append(tokens[:rare])
-        bounds.append(n - np.arange(rare))
-        often = np.sort(tokens[rare:length])
-        own = often >> np.uint64(40)
-        for c in range(classes if len(often) > 1 else 0):
-            group = often[own % np.uint64(classes) == c]
+    rare = int(np.searchsorted(counts, limit, "right"))
+    keys, bounds = [tokens[:rare]], [n - np.arange(rare)]
+    for classes in all_classes if most - rare > 1 else []:
+        often = np.sort(tokens[rare : min(n, prefix_length(n, percent) + classes)])
+        own = (often >> np.uint64(40)) % np.uint64(classes)
+        for c in range(classes):
+            group = often[own == c]
             i, j = np.triu_indices(len(group), 1)
             keys.append(pair(group[i], group[j], classes))
-            bounds.append(np.full(len(i), n))
-    keys, bounds = np.concatenate(keys), np.concatenate(bounds)
-    keys, at = np.unique(keys, return_index=True)
-    return keys, bounds[at], rare_seen
+            bounds.append(np.zeros(len(i), np.int64))
+    return np.concatenate(keys), np.concatenate(bounds), rare, most - rare
 
 
 def _measure(size: int):
@@ -109,6 +111,26 @@ def _sum_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [key[0]], "counts": [np.sum([np.frombuffer(x, np.int32) for x in rows["counts"]], axis=0, dtype=np.int32).tobytes()]})
 
 
+def mark_places(ids: np.ndarray) -> list[np.ndarray]:
+    """Bits of the bitmap that stand for an id."""
+    h = mixed(ids.view(np.uint64))
+    return [(x % np.uint64(8 * MARK_BYTES)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(8 * MARK_BYTES, bool)
+    for pdf in batches:
+        for at in mark_places(pdf["id"].to_numpy().astype(np.int64)):
+            bits[at] = True
+    parts = np.packbits(bits, bitorder="little").reshape(SKETCH_PARTS, -1)
+    filled = [i for i in range(SKETCH_PARTS) if parts[i].any()]
+    yield pd.DataFrame({"part": filled, "bits": [parts[i].tobytes() for i in filled]})
+
+
+def _join_marks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"part": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]]).tobytes()]})
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles long, component_id long.
 
@@ -136,45 +158,83 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, counts = WordHashes(), shared.value
         for pdf in batches:
-            seen, out = set(), []
+            seen, found = set(), []
             for key, text in zip(pdf["id"], pdf["text"]):
                 tokens = shingle_set(memo, text, size)
                 # Fewer tokens allow no link but between equal sets; equal sets of a batch are indexed once.
                 if len(tokens) * (100 - percent) < percent or (digest := xxhash.xxh3_128_digest(tokens.tobytes())) in seen:
                     continue
                 seen.add(digest)
-                keys, bounds, rare = index_keys(tokens, counts[bucket_of(tokens)], limit, percent)
-                out.append(pd.DataFrame({"key": signed(keys), "id": int(key), "n": len(tokens), "bound": bounds, "rare": rare}))
-            yield pd.concat(out) if out else pd.DataFrame({"key": [], "id": [], "n": [], "bound": [], "rare": []}, dtype="int64")
+                found.append((int(key), len(tokens), *index_keys(tokens, counts[bucket_of(tokens)], limit, percent)))
+            each = [len(x[2]) for x in found]
+            column = lambda i: np.repeat(np.array([x[i] for x in found], np.int64), each)
+            joined = lambda i, kind: np.concatenate([np.zeros(0, kind), *[x[i] for x in found]])
+            yield pd.DataFrame({"key": signed(joined(2, np.uint64)), "id": column(0), "n": column(1), "bound": joined(3, np.int64), "rare": column(4), "often": column(5)})
 
-    indexed = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(index, "key long, id long, n int, bound int, rare int")
-    # The member with fewest tokens of its own is likeliest to be what the others were copied from.
+    indexed = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(index, "key long, id long, n int, bound int, rare int, often int")
     of_key = Window.partitionBy("key")
-    best = F.min(F.struct("rare", "id")).over(of_key)
     other = F.max("id").over(of_key) != F.min("id").over(of_key)
-    buckets = stash(indexed.withColumn("best", best).withColumn("other", other).where("other").select("key", "id", "n", "bound", "rare", F.col("best.id").alias("pivot")), "buckets")
+    buckets = stash(indexed.withColumn("other", other).where("other").drop("other"), "buckets")
+    # Partners share CLASSES + 1 tokens of their prefixes, small ones two; as many of them are rare as neither has frequent ones.
+    need = F.when(F.col("n") > small_to(percent), CLASSES + 1).otherwise(2) - F.col("often")
+    size_before = buckets.count()
+    while size_before:
+        # A document with fewer shared rare tokens than that has no partner, and leaves its buckets.
+        enough = buckets.groupBy("id").agg(F.count_if(F.col("bound") > 0).alias("singles"), F.max(need).alias("need")).where("singles >= need").select("id")
+        buckets = stash(buckets.join(stash(enough, "enough"), "id").withColumn("other", other).where("other").select(*buckets.columns), "buckets")
+        size_now = buckets.count()
+        if size_now > 0.9 * size_before:
+            break
+        size_before = size_now
+
+    # The member with fewest tokens of its own is likeliest to be what the others were copied from.
+    head = F.min(F.struct("rare", "id", "n", "often", "bound")).over(of_key)
+    buckets = stash(buckets.withColumn("p", head).select(*buckets.columns, "p"), "buckets")
+
+    def shared_enough(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, and n, often, bound of both, a row for each bucket) that meet in enough rare tokens and whose first one allows a link."""
+        fits = F.expr(f"bounda > 0 AND boundb > 0 AND {100 + percent} * least(bounda, boundb) >= {percent} * (na + nb)") | F.expr("bounda = 0 OR boundb = 0")
+        counted = pairs.groupBy("a", "b").agg(F.count_if(F.col("bounda") > 0).alias("r"), F.bool_or(fits).alias("fits"), *[F.first(c).alias(c) for c in ("na", "nb", "oftena", "oftenb")])
+        # Of the set whose prefix ends first, a token that isn't shared there isn't shared at all. Prefixes leave
+        # out all but CLASSES + 1 tokens of the smallest overlap, so partners of like size share more than those.
+        overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9) - F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9)
+        least = F.when(F.least("na", "nb") >= LARGE_FROM, CLASSES + 1 + F.greatest(F.lit(0), overlap)).otherwise(2) - F.least("oftena", "oftenb")
+        return counted.where(F.col("fits") & (F.col("r") >= least)).select("a", "b")
+
+    # Sets of the documents that are left in buckets. Which those are reaches the scan as a
+    # bitmap of fixed size: it may let others through, which are sets that nobody asks for.
+    marks = buckets.select("id").distinct().mapInPandas(_mark, "part int, bits binary").groupBy("part").applyInPandas(_join_marks, "part int, bits binary").collect()
+    bitmap = np.zeros((SKETCH_PARTS, MARK_BYTES // SKETCH_PARTS), np.uint8)
+    for r in marks:
+        bitmap[r.part] = np.frombuffer(r.bits, np.uint8)
+    marked = spark.sparkContext.broadcast(bitmap.ravel())
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
+        memo, bits = WordHashes(), marked.value
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "tokens": [signed(shingle_set(memo, t, size)) for t in pdf["text"]]})
+            ids = pdf["id"].to_numpy().astype(np.int64)
+            wanted = np.ones(len(ids), bool)
+            for at in mark_places(ids):
+                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pd.DataFrame({"id": ids[wanted], "tokens": pd.Series([signed(shingle_set(memo, t, size)) for t in pdf["text"][wanted]], dtype=object)})
 
-    members = buckets.select("id").distinct()
-    wanted = rows.select(F.col("id").cast("long").alias("id"), "text").join(members, "id", "left_semi")
-    tokens = stash(wanted.mapInPandas(to_sets, "id long, tokens array<long>"), "tokens")
+    tokens = stash(rows.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(to_sets, "id long, tokens array<long>"), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link."""
         left, right = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-        both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("ta", "tb"))
-        return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+        # Sets are too many to be broadcast, however few they are here.
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b").distinct()
 
     def close(one: str, two: str) -> str:
         return f"100 * least({one}, {two}) >= {percent} * greatest({one}, {two})"
 
     firsts = sets.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first"))
     same = sets.where("n > 0 AND id IS NOT NULL").join(stash(firsts, "firsts"), ["s1", "s2"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    pivots = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    sides = lambda one, two: [F.col(f"{x}{c}").alias(f"{c}{i}" if c != "id" else i) for x, i in ((one, "a"), (two, "b")) for c in ("id", "n", "often", "bound")]
+    pivots = shared_enough(buckets.where(f"id <> p.id AND {close('n', 'p.n')}").select(*sides("", "p.")))
     edges = stash(same.unionByName(verified(pivots)), "edges")
     found = stash(components(edges), "components")
 
@@ -184,14 +244,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stash(components(edges), "components")
 
     def crossing(open_: DataFrame) -> DataFrame:
-        """Every pair of a bucket that lies in two components and that sizes and first match allow."""
-        one, two = (open_.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "bound", "c")]) for i in (1, 2))
-        fits = f"id1 < id2 AND c1 <> c2 AND {close('n1', 'n2')} AND {100 + percent} * least(bound1, bound2) >= {percent} * (n1 + n2)"
-        return one.join(two, "key").where(fits).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+        """Every pair of a bucket that lies in two components and may link."""
+        one, two = (open_.select("key", *[F.col(c).alias(f"{i}_{c}") for c in ("id", "n", "often", "bound", "c")]) for i in ("x", "y"))
+        met = one.join(two, "key").where(f"x_id < y_id AND x_c <> y_c AND {close('x_n', 'y_n')}")
+        return shared_enough(met.select(*sides("x_", "y_")))
 
     while True:
         # What is still apart: buckets whose members lie in two components or more.
-        placed = buckets.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "bound", "rare", F.coalesce("component", "id").alias("c"))
+        placed = buckets.drop("p").join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "often", "bound", "rare", F.coalesce("component", "id").alias("c"))
         open_ = stash(placed.withColumn("apart", F.max("c").over(of_key) != F.min("c").over(of_key)).where("apart").drop("apart"), "open")
         parts = open_.groupBy("key", "c").agg(F.count("*").alias("m"))
         per_key = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
@@ -201,10 +261,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = None
         if pairs > PAIRS_A_MEMBER * members_open:
             # Too many to list yet. Another pivot: the best member outside the component of the best one.
-            head = open_.withColumn("head", F.min(F.struct("rare", "id", "c")).over(of_key))
-            second = F.min(F.when(F.col("c") != F.col("head.c"), F.struct("rare", "id", "n", "c"))).over(of_key)
-            tried = head.withColumn("p", second).where(f"c <> p.c AND {close('n', 'p.n')}")
-            more = stash(verified(tried.select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()), "more")
+            best = open_.withColumn("head", F.min(F.struct("rare", "id", "c")).over(of_key))
+            second = F.min(F.when(F.col("c") != F.col("head.c"), F.struct("rare", "id", "n", "often", "bound", "c"))).over(of_key)
+            tried = best.withColumn("p", second).where(f"c <> p.c AND {close('n', 'p.n')}")
+            more = stash(verified(shared_enough(tried.select(*sides("", "p.")))), "more")
         if more is None or more.isEmpty():
             found = joined_by(verified(crossing(open_)))
             break

@@ -46,34 +46,23 @@ def row_bytes(df: DataFrame) -> int:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (a long, b long): node long, component long.
 
-    Alternates the large-star and small-star steps, which need about log(n) rounds
-    and never gather a component in one task: minima are pre-aggregated in the map
-    tasks, and they are written before they are joined back, so that both sides of
-    each join are plain exchanges and Spark can split the partition of a node with
-    very many neighbours. Null ids and self-loops take no part; no edges give no rows.
+    Every node takes the smallest label around it and then the label of that label, until
+    nothing changes: the second step halves long chains, so a few rounds suffice. Minima
+    are pre-aggregated in the map tasks, and labels are joined from a written table, so
+    that Spark can split the partition of a node with very many neighbours. No task
+    gathers a component. Null ids and self-loops take no part; no edges give no rows.
     """
-    current = stash(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = current.agg(mark).first()[0]
-    for _ in range(max_rounds if before[0] else 0):
-        # Large star: every neighbour above a node is linked to the smallest id around it.
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = stash(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        # Small star: every neighbour below a node, and the node itself, is linked to the smallest of them.
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        current = stash(joined.where("u <> v").distinct(), "edges")
-        # The marks are equal once every node points at its component.
-        now = current.agg(mark).first()[0]
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
-    nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    kept = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    both = stash(kept.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct(), "edges")
+    label = stash(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
+    if label.isEmpty():
+        return label
+    for _ in range(max_rounds):
+        around = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        lower = label.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+        further = lower.join(label.select(F.col("node").alias("low"), F.col("component").alias("lower")), "low")
+        after = stash(further.select("node", "old", F.least("low", "lower").alias("component")), "labels")
+        label = after.select("node", "component")
+        if after.where("old <> component").isEmpty():
+            return label
+    raise RuntimeError("components did not settle")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 150_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
