@@ -41,7 +41,7 @@ INPUTS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     ),
     "quality": (
         "part",
-        "p_partkey < 600",
+        "true",
         (
             "concat('f', CAST(p_partkey AS STRING)) AS file",
             "CAST(p_size AS BIGINT) * 13 AS lines",
@@ -54,7 +54,7 @@ INPUTS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     ),
     "before": (
         "orders",
-        "o_orderkey % 7 <> 0",
+        "o_orderpriority <> '1-URGENT'",
         (
             "o_orderkey % 5000 AS k",
             "o_orderkey AS pos",
@@ -65,7 +65,7 @@ INPUTS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     ),
     "after": (
         "orders",
-        "o_orderkey % 11 <> 0",
+        "o_orderpriority <> '5-LOW'",
         (
             "o_orderkey % 5000 AS k",
             "o_orderkey AS pos",
@@ -110,7 +110,7 @@ INPUTS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "docs": ("documents", "true", ("doc_id", "text", "lang", "source")),
     "edges": (
         "lineitem",
-        "l_linenumber = 1",
+        "true",
         ("l_partkey % 211 AS src", "(l_partkey % 211 * 3 + l_partkey % 2) % 211 AS dst"),
     ),
 }

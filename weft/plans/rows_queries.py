@@ -48,22 +48,22 @@ def routes_called(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     cte("routes")
-    + f""", n AS (SELECT pos, route AS id, rtrim({NORMAL.format('route')}, '/') AS k FROM routes WHERE pos % 3 = 0),
-    s AS (SELECT rtrim({NORMAL.format("concat('/m', route)")}, '/') AS k, 0 AS rule, pos, id FROM (SELECT pos, route, route AS id FROM routes WHERE pos % 3 = 0)),
+    + f""", n AS (SELECT pos, route AS id, rtrim({NORMAL.format('route')}, '/') AS k FROM routes WHERE method = 'GET'),
+    s AS (SELECT rtrim({NORMAL.format("concat('/m', route)")}, '/') AS k, 0 AS rule, pos, id FROM (SELECT pos, route, route AS id FROM routes WHERE method = 'GET')),
     b AS (SELECT * FROM s UNION ALL SELECT k, 1, pos, id FROM n), f AS (SELECT k, id FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY rule, pos, id) = 1),
-    q AS (SELECT DISTINCT route FROM routes UNION SELECT DISTINCT '/m' || route FROM routes WHERE pos % 4 = 0)
+    q AS (SELECT DISTINCT route FROM routes UNION SELECT DISTINCT '/m' || route FROM routes WHERE route LIKE '/api/%')
     SELECT route, id FROM q LEFT JOIN f ON f.k = rtrim({NORMAL.format('route')}, '/')"""
 )
 def match_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "routes")
-    items = rows.where("pos % 3 = 0").select(F.col("route").alias("id"), "pos", F.array(F.concat(F.lit("/m"), "route")).alias("match"))
-    asked = rows.select("route").union(rows.where("pos % 4 = 0").select(F.concat(F.lit("/m"), "route")))
+    items = rows.where("method = 'GET'").select(F.col("route").alias("id"), "pos", F.array(F.concat(F.lit("/m"), "route")).alias("match"))
+    asked = rows.select("route").union(rows.where("route LIKE '/api/%'").select(F.concat(F.lit("/m"), "route")))
     return joins.match_routes(asked, items)
 
 
 @query(
     """WITH l AS (SELECT l_partkey AS page, l_suppkey * 5 AS target, CASE WHEN l_linenumber > 1 THEN 'a' || l_linenumber END AS anchor FROM lineitem),
-    p AS (SELECT p_partkey AS page FROM part WHERE p_partkey % 3 <> 0), a AS (SELECT p_partkey AS page, 'a' || (p_size % 5) AS anchor FROM part)
+    p AS (SELECT p_partkey AS page FROM part WHERE p_size > 16), a AS (SELECT p_partkey AS page, 'a' || (p_size % 5) AS anchor FROM part)
     SELECT page, target, anchor, 'page' AS kind FROM l WHERE target NOT IN (SELECT page FROM p)
     UNION ALL SELECT page, target, anchor, 'anchor' FROM l WHERE target IN (SELECT page FROM p) AND anchor IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.page = l.target AND a.anchor = l.anchor)
     UNION ALL SELECT page, target, anchor, 'self' FROM l WHERE page = target AND anchor IS NULL"""
@@ -71,7 +71,7 @@ def match_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
     links = line.select(F.col("l_partkey").alias("page"), (F.col("l_suppkey") * 5).alias("target"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("a"), "l_linenumber")).alias("anchor"))
-    pages = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("page"))
+    pages = part.where("p_size > 16").select(F.col("p_partkey").alias("page"))
     anchors = part.select(F.col("p_partkey").alias("page"), F.concat(F.lit("a"), F.col("p_size") % 5).alias("anchor"))
     return joins.broken_links(links, pages, anchors)
 
@@ -109,29 +109,29 @@ def diff_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT p_type || '/' || p_brand || '/' || p_size AS id, 'pg' || p_partkey AS page, p_partkey AS pos, [p_type, p_brand, CAST(p_size AS VARCHAR)] AS s FROM part WHERE p_partkey % 3 = 0),
-    i AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_size || '/' || p_name AS id, [p_type, p_brand, CAST(p_size AS VARCHAR), p_name] AS s FROM part WHERE p_partkey % 3 = 1),
+    """WITH c AS (SELECT p_type || '/' || p_brand || '/' || p_size AS id, 'pg' || p_partkey AS page, p_partkey AS pos, [p_type, p_brand, CAST(p_size AS VARCHAR)] AS s FROM part WHERE p_size <= 25),
+    i AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_size || '/' || p_name AS id, [p_type, p_brand, CAST(p_size AS VARCHAR), p_name] AS s FROM part WHERE p_size > 25),
     m AS (SELECT i.id, c.page, c.pos, CASE WHEN i.s[1:3] = c.s THEN 3 WHEN i.s[1:2] = c.s[1:2] THEN 2 WHEN i.s[1] = c.s[1] THEN 1 ELSE 0 END AS common FROM i, c)
     SELECT id, page, CAST(common AS INT) AS common FROM m WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, pos) = 1"""
 )
 def suggest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    covered = part.where("p_partkey % 3 = 0").select(F.concat_ws("/", "p_type", "p_brand", "p_size").alias("id"), F.concat(F.lit("pg"), "p_partkey").alias("page"), F.col("p_partkey").alias("pos"))
-    return joins.suggest_page(part.where("p_partkey % 3 = 1").select(F.concat_ws("/", "p_type", "p_brand", "p_size", "p_name").alias("id")), covered)
+    covered = part.where("p_size <= 25").select(F.concat_ws("/", "p_type", "p_brand", "p_size").alias("id"), F.concat(F.lit("pg"), "p_partkey").alias("page"), F.col("p_partkey").alias("pos"))
+    return joins.suggest_page(part.where("p_size > 25").select(F.concat_ws("/", "p_type", "p_brand", "p_size", "p_name").alias("id")), covered)
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12)
+    """WITH r AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'), i AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'O'), c AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12)
     SELECT id, 'new' AS change FROM i WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'removed' FROM r WHERE id NOT IN (SELECT id FROM i) AND id IN (SELECT id FROM c)"""
 )
 def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
-    ids = lambda n: orders.where(f"o_orderkey % {n} = 0").select(F.col("o_custkey").alias("id"))
-    return joins.inventory_changes(ids(2).distinct(), ids(3), customers.where("c_nationkey < 12").select(F.col("c_custkey").alias("id")))
+    ids = lambda status: orders.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("id"))
+    return joins.inventory_changes(ids("F").distinct(), ids("O"), customers.where("c_nationkey < 12").select(F.col("c_custkey").alias("id")))
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT 'src/' || p_type || '/' || p_brand || '/' || p_name || '.ts' AS file FROM part WHERE p_partkey % 2 = 0),
+    """WITH f AS (SELECT DISTINCT 'src/' || p_type || '/' || p_brand || '/' || p_name || '.ts' AS file FROM part WHERE p_size <= 25),
     p AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name || '.ts' WHEN 1 THEN p_brand || '/' || p_name || '.ts' ELSE 'src/' || p_type || '/' || p_brand || '/' || p_name || '.ts' END AS path FROM part),
     m AS (SELECT path, count(DISTINCT file) AS n, min(file) AS one, bool_or(file = path) AS exact FROM p JOIN f ON file = path OR ends_with(file, '/' || path) GROUP BY 1)
     SELECT path, CASE WHEN exact THEN path WHEN n = 1 THEN one END AS file FROM p LEFT JOIN m USING (path)"""
@@ -141,7 +141,7 @@ def resolve_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("p_name", F.lit(".ts"))
     whole = F.concat_ws("/", F.lit("src"), "p_type", "p_brand", name)
     paths = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.concat_ws("/", "p_brand", name)).otherwise(whole)
-    return joins.resolve_suffix(part.select(paths.alias("path")), part.where("p_partkey % 2 = 0").select(whole.alias("file")).distinct())
+    return joins.resolve_suffix(part.select(paths.alias("path")), part.where("p_size <= 25").select(whole.alias("file")).distinct())
 
 
 @query(cte("ranges", "touched") + ", a AS (SELECT DISTINCT * FROM ranges), b AS (SELECT DISTINCT * FROM touched) SELECT a.file, a.lo, a.hi, count(*) AS touches FROM a JOIN b ON a.file = b.file AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL")
@@ -150,14 +150,14 @@ def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_brand AS "table", list_sort(list_distinct(list(p_name))) AS columns FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1),
+    """WITH t AS (SELECT p_brand AS "table", list_sort(list_distinct(list(p_name))) AS columns FROM part WHERE p_size > 12 GROUP BY 1),
     r AS (SELECT DISTINCT p_brand AS a, 'Brand#' || (p_size % 30) AS b FROM part), e AS (SELECT a, b FROM r WHERE a IN (SELECT "table" FROM t) AND b IN (SELECT "table" FROM t)),
     d AS (SELECT n, count(*) AS degree FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
     SELECT "table", columns, coalesce(degree, 0) AS degree FROM t LEFT JOIN d ON n = "table\""""
 )
 def erd_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    tables = part.where("p_partkey % 4 <> 0").select(F.col("p_brand").alias("table"), F.col("p_name").alias("column"))
+    tables = part.where("p_size > 12").select(F.col("p_brand").alias("table"), F.col("p_name").alias("column"))
     return joins.erd_tables(tables, part.select(F.col("p_brand").alias("table"), F.concat(F.lit("Brand#"), F.col("p_size") % 30).alias("target")))
 
 
@@ -173,24 +173,24 @@ def translated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT c_custkey AS n, [c_mktsegment || c_nationkey] AS routes FROM customer WHERE c_custkey < 40), c AS (SELECT c_custkey AS pos, [c_mktsegment || c_nationkey, 'r' || c_custkey] AS routes FROM customer WHERE c_custkey >= 40),
+    """WITH e AS (SELECT c_custkey AS n, [c_mktsegment || c_nationkey] AS routes FROM customer WHERE c_acctbal < 0), c AS (SELECT c_custkey AS pos, [c_mktsegment || c_nationkey, 'r' || c_custkey] AS routes FROM customer WHERE c_acctbal >= 0),
     t AS (SELECT DISTINCT unnest(routes) AS route FROM e), f AS (SELECT * FROM c WHERE NOT list_has_any(routes, (SELECT list(route) FROM t)))
     SELECT n, routes FROM e UNION ALL SELECT (SELECT coalesce(max(n), 0) FROM e) + row_number() OVER (ORDER BY pos), routes FROM f"""
 )
 def append_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     key = F.concat("c_mktsegment", "c_nationkey")
-    existing = c.where("c_custkey < 40").select(F.col("c_custkey").alias("n"), F.array(key).alias("routes"))
-    return joins.append_new(existing, c.where("c_custkey >= 40").select(F.col("c_custkey").alias("pos"), F.array(key, F.concat(F.lit("r"), "c_custkey")).alias("routes")))
+    existing = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("n"), F.array(key).alias("routes"))
+    return joins.append_new(existing, c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("pos"), F.array(key, F.concat(F.lit("r"), "c_custkey")).alias("routes")))
 
 
-SMALL_EDGES = "e AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + 3) % 40 AS dst FROM part WHERE p_partkey % 40 % 6 <> 0)"
+SMALL_EDGES = "e AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + 3) % 40 AS dst FROM part WHERE true)"
 REACH = "r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
 def _small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select((F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") * 7 + 3) % 40).alias("dst")).where("src % 6 <> 0")
+    return part.select((F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") * 7 + 3) % 40).alias("dst"))
 
 
 @query(
@@ -212,11 +212,11 @@ def shortest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT s_suppkey AS a, (s_suppkey * 3 + 5) % 100 AS b FROM supplier WHERE s_suppkey % 4 <> 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    """WITH RECURSIVE p AS (SELECT s_suppkey AS a, (s_suppkey * 3 + 5) % 100 AS b FROM supplier WHERE s_acctbal > 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
     r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(min(b), a) AS "group" FROM r GROUP BY a"""
 )
 def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 4 <> 0")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0")
     return graph.groups(s.select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 3 + 5) % 100).alias("b")))
 
 
@@ -229,13 +229,13 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topological(p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst")))
 
 
-STATES = "s AS (SELECT p_partkey % 61 AS node, CASE WHEN p_partkey % 61 % 9 = 4 THEN 'missing' ELSE 'fresh' END AS state FROM part WHERE p_partkey < 61)"
+STATES = "s AS (SELECT DISTINCT p_partkey % 61 AS node, CASE WHEN p_partkey % 61 % 9 = 4 THEN 'missing' ELSE 'fresh' END AS state FROM part)"
 
 
 @query(f"WITH RECURSIVE {SMALL_EDGES}, {REACH}, {STATES} SELECT node, CASE WHEN state = 'fresh' AND node IN (SELECT src FROM r WHERE dst IN (SELECT node FROM s WHERE state <> 'fresh')) THEN 'stale' ELSE state END AS state FROM s")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 61")
-    states = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 9 == 4, "missing").otherwise("fresh").alias("state"))
+    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 61).alias("node")).distinct()
+    states = nodes.select("node", F.when(F.col("node") % 9 == 4, "missing").otherwise("fresh").alias("state"))
     return graph.late_states(states, _small_edges(spark, sf_dir))
 
 
@@ -280,13 +280,13 @@ def detected_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT c_custkey AS id, c_custkey // 10 AS parent FROM customer), l AS (SELECT c_custkey AS id, 'T-' || c_custkey AS ref FROM customer WHERE c_custkey % 3 = 0)
+    """WITH i AS (SELECT c_custkey AS id, c_custkey // 10 AS parent FROM customer), l AS (SELECT c_custkey AS id, 'T-' || c_custkey AS ref FROM customer WHERE c_acctbal > 5000)
     SELECT i.id, i.parent, l.ref AS parent_ref FROM i LEFT JOIN l ON l.id = i.parent WHERE i.id NOT IN (SELECT id FROM l)"""
 )
 def export_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     items = c.select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 10").alias("parent"))
-    return filters.to_export(items, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("T-"), "c_custkey").alias("ref")))
+    return filters.to_export(items, c.where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"), F.concat(F.lit("T-"), "c_custkey").alias("ref")))
 
 
 @query("""WITH v AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN 'na: none' WHEN 2 THEN 'unknown' WHEN 3 THEN '  ' WHEN 4 THEN 'name' WHEN 5 THEN NULL ELSE 'Unknown - yet' END AS v FROM events)
@@ -314,8 +314,8 @@ def facts_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", found.alias("state"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderstatus = 'P'")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
-    fifth = o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("N"))
-    return state.upsert(o, fifth.unionByName(fifth.withColumn("o_orderkey", -F.col("o_orderkey") - 1)), "o_orderkey")
+    open_orders = o.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("N"))
+    return state.upsert(o, open_orders.unionByName(open_orders.withColumn("o_orderkey", -F.col("o_orderkey") - 1)), "o_orderkey")

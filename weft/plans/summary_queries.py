@@ -99,9 +99,9 @@ def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.file_history(load(spark, sf_dir, "commits"))
 
 
-@query(cte("commits") + HISTORY.replace("FROM commits GROUP", "FROM commits WHERE path IN (SELECT file FROM quality) GROUP").replace(", a AS", ", quality AS (SELECT 'f' || p_partkey AS file FROM part WHERE p_partkey % 4 = 0), a AS"))
+@query(cte("commits") + HISTORY.replace("FROM commits GROUP", "FROM commits WHERE path IN (SELECT file FROM quality) GROUP").replace(", a AS", ", quality AS (SELECT 'f' || p_partkey AS file FROM part WHERE p_size > 12), a AS"))
 def tracked_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 4 = 0").select(F.concat(F.lit("f"), "p_partkey").alias("path"))
+    tracked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 12").select(F.concat(F.lit("f"), "p_partkey").alias("path"))
     return aggregates.file_history(load(spark, sf_dir, "commits"), tracked, limit=None)
 
 

@@ -17,10 +17,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "docs")
 
 
-@query(f"SELECT doc_id, {FOLD.format('substring(text, 1, 200)')} AS folded, regexp_replace(lower(substring(text, 1, 200)), '\\s+', ' ', 'g') AS spaced FROM documents")
+@query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded, md5(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS spaced FROM documents")
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    return docs(spark, sf_dir).select("doc_id", fx.fold(head).alias("folded"), fx.fold_space(head).alias("spaced"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(fx.fold("text")).alias("folded"), F.md5(fx.fold_space("text")).alias("spaced"))
 
 
 @query(
@@ -142,15 +141,15 @@ def search_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT p_brand AS template, CAST(substring(p_brand, 7) AS INT) AS pos, p_name AS heading FROM part WHERE p_partkey % 5 = 0), z AS (SELECT template, count(*) AS size, min(pos) AS pos FROM t GROUP BY 1),
-    p AS (SELECT DISTINCT l_suppkey AS page, p_name AS heading FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+    """WITH t AS (SELECT DISTINCT p_brand AS template, CAST(substring(p_brand, 7) AS INT) AS pos, p_name AS heading FROM part WHERE p_size <= 10), z AS (SELECT template, count(*) AS size, min(pos) AS pos FROM t GROUP BY 1),
+    p AS (SELECT DISTINCT l_suppkey AS page, p_name AS heading FROM lineitem JOIN part ON p_partkey = l_partkey),
     h AS (SELECT page, template, count(*) AS hits FROM p JOIN t USING (heading) GROUP BY ALL)
     SELECT page, template, hits FROM h JOIN z USING (template) WHERE hits * 2 >= size QUALIFY row_number() OVER (PARTITION BY page ORDER BY hits / size DESC, pos) = 1"""
 )
 def guess_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, line = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    templates = part.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("template"), F.substring("p_brand", 7, 9).cast("int").alias("pos"), F.col("p_name").alias("heading")).distinct()
-    pages = line.where("l_linenumber = 1").join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_suppkey").alias("page")).agg(F.collect_set("p_name").alias("headings"))
+    templates = part.where("p_size <= 10").select(F.col("p_brand").alias("template"), F.substring("p_brand", 7, 9).cast("int").alias("pos"), F.col("p_name").alias("heading")).distinct()
+    pages = line.join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_suppkey").alias("page")).agg(F.collect_set("p_name").alias("headings"))
     return ranking.guess_template(pages, templates)
 
 
