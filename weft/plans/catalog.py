@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import code_queries, rows_queries, summary_queries, text_queries
+from weft.plans import code_queries, report_queries, rows_queries, summary_queries, text_queries
 from weft.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "code_queries", "rows_queries", "summary_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "code_queries", "report_queries", "rows_queries", "summary_queries", "text_queries"]
