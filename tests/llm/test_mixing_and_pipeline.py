@@ -123,3 +123,16 @@ def test_pipeline_stage_by_stage(spark, folder):
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in whole if r.doc_id is not None) == sorted((r.doc_id, r.n_tokens) for r in last if r.doc_id is not None)
     assert re.fullmatch("[a-zA-Z -]+", corpus_pipeline.STAGES[0][0])
+
+
+def test_secret_stage_redacts_live_extras_and_keeps_copied_ones(spark):
+    live, shared = "ghp_q9Zk3LmP0aXw7RtY2uVb5NcD8eFh1GjK", "sk-A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6"
+    data = [(1, f"x {live} y password: hunter22x", "en", "a", 0), (2, f"s {shared}", "en", "a", 0), (3, f"s {shared}", "en", "b", 0), (4, f"s {shared} z", "en", "c", 0)]
+    data += [(5, "plain", "en", "a", 5), (6, None, None, None, 7), (1, f"x {live} y password: hunter22x", "en", "a", 0), (None, "", "en", "a", 0)]
+    docs = spark.createDataFrame(data, DOCS)
+    out = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert out.columns == docs.columns and out.schema == docs.schema
+    want = [(i, "x [SECRET] y [SECRET]" if t and live in t else t, a, b) for i, t, a, b, _ in data]
+    got = out.collect()
+    assert sorted(((r.doc_id, r.text, r.lang, r.source) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text) for r in got if r.text is not None) and [r.n_chars for r in got if r.doc_id == 6] == [7]

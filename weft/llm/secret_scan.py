@@ -12,10 +12,10 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,38 +94,48 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         )
 
 
-def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3
-) -> DataFrame:
-    """Secrets of every whole text: id, base and all (arrays of kind, start, end), n_live long, n_example long.
-
-    ``owner_col`` names who a row belongs to and ``repo_col`` the repository (the
-    row's id where there is none). A candidate is live when it looks random and at
-    most ``max_owners`` owners carry it, an example when ``example_owners`` or more
-    do. Base spans always stay; live candidates of the extra shapes are added.
-
-    Null and empty texts have no spans. A null owner counts as one owner of its own.
-    Repeated rows give repeated results; they count as one repository. Other columns
-    of ``docs`` are not read, so their names can't clash. An empty table gives no rows.
-    """
+def _scanned(docs: DataFrame, row: Column, id_col: str, text_col: str, owner_col: str, repo_col: str | None) -> DataFrame:
+    """uid, row, repo, owner, base, candidates of every row, written once so that uid stays the same."""
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        row.alias("row"),
         F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit("")).alias("repo"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
         _scan(F.col(text_col)).alias("found"),
     )
-    scanned = stash(rows.select("id", "repo", "owner", "found.*").withColumn("uid", F.monotonically_increasing_id()), "secrets")
+    return stash(rows.select("row", "repo", "owner", "found.*").withColumn("uid", F.monotonically_increasing_id()), "secrets")
+
+
+def _judged(scanned: DataFrame, max_owners: int, example_owners: int) -> DataFrame:
+    """uid, added (live spans of the extra shapes), n_live, n_example of the rows that hold candidates."""
     seen = scanned.where(F.size("candidates") > 0).select("uid", "repo", "owner", F.explode("candidates").alias("c"))
     # Ownership counts; each step is pre-aggregated in the map tasks, and its keys spread a hot value over its repositories.
     by_owner = seen.select("c.hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
     owners = stash(by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos")), "owners")
     judged = seen.select("uid", F.col("c.hash").alias("hash"), "c").join(owners, "hash")
     live = F.col("c.strong") & (F.col("n_owners") <= max_owners)
-    added = judged.groupBy("uid").agg(
+    return judged.groupBy("uid").agg(
         F.collect_list(F.when(live & (F.col("c.kind") == "extra"), F.struct("c.kind", "c.start", "c.end"))).alias("added"),
         F.count_if(live).alias("n_live"),
         F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
     )
+
+
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3
+) -> DataFrame:
+    """Secrets of every whole text: id, base and all (arrays of kind, start, end), n_live long, n_example long.
+
+    ``owner_col`` names who a row belongs to and ``repo_col`` the repository (the
+    row's id where there is none). A candidate is live when it looks random and at
+    most ``max_owners`` owners carry it, an example when ``example_owners`` or more
+    do. Base spans always stay; live candidates of the extra shapes are added.
+
+    Null and empty texts have no spans. A null owner counts as one owner of its own.
+    Repeated rows give repeated results; they count as one repository. Other columns
+    of ``docs`` are not read, so their names can't clash. An empty table gives no rows.
+    """
+    scanned = _scanned(docs, F.col(id_col), id_col, text_col, owner_col, repo_col)
+    added = _judged(scanned, max_owners, example_owners)
     rank = lambda x: F.when(x["kind"] == "extra", 9).otherwise(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int"))
     by_start = lambda xs: F.transform(
         F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))),
@@ -133,10 +143,10 @@ def find_secrets(
     )
     none = F.array().cast(T.ArrayType(SPAN))
     return (
-        scanned.select("uid", "id", "base")
+        scanned.select("uid", "row", "base")
         .join(added, "uid", "left")
         .select(
-            F.col("id").alias(id_col),
+            F.col("row").alias(id_col),
             "base",
             by_start(F.concat("base", F.coalesce("added", none))).alias("all"),
             F.coalesce("n_live", F.lit(0)).alias("n_live"),
@@ -146,17 +156,17 @@ def find_secrets(
 
 
 @F.pandas_udf(T.StringType())
-def _redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(redact_text)
+def _redact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, added in batches:
+        yield pd.Series([redact_text(t, added=[(x["start"], x["end"]) for x in a] if a is not None else ()) for t, a in zip(texts, added)], dtype=object)
 
 
-def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
-    """The text with every base span replaced by ``mark``; overlapping spans become one."""
+def redact_text(text: str | None, mark: str = "[SECRET]", added: Iterable[tuple[int, int]] = ()) -> str | None:
+    """The text with every base span and every one of ``added`` replaced by ``mark``; overlapping spans become one."""
     if not text:
         return text
     out, at = [], 0
-    for _, s, e, _ in base_spans(text):
+    for s, e in sorted([*((s, e) for _, s, e, _ in base_spans(text)), *added]):
         if e <= at:
             continue
         if s >= at:
@@ -165,6 +175,18 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base secrets replaced in ``text_col``; every row and column stays. Null texts stay null."""
-    return docs.withColumn(text_col, _redact(F.col(text_col)))
+def redact_secrets(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3
+) -> DataFrame:
+    """``docs`` with the spans that ``find_secrets`` calls "all" replaced in ``text_col``: base secrets and live extra ones.
+
+    Every row and column stays. Null texts stay null. Only rows with a candidate of
+    the extra shapes meet the verdicts in a join; the others are rewritten in place.
+    """
+    scanned = _scanned(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), id_col, text_col, owner_col, repo_col)
+    added = _judged(scanned, max_owners, example_owners).where(F.size("added") > 0).select("uid", "added")
+    extra = F.exists("candidates", lambda c: c["kind"] == "extra")
+    met = scanned.where(extra).select("uid", "row").join(added, "uid", "left").select("row", "added")
+    rows = met.unionByName(scanned.where(~extra).select("row", F.lit(None).cast(T.ArrayType(SPAN)).alias("added")))
+    text = F.col("row").getField(text_col)
+    return rows.select(*[(_redact(text, "added") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
