@@ -29,10 +29,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: A text without one of these, in any case, has no assignment.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
+#: Private keys: the header, the end, what separates the characters of a body, and the stretch that counts as one without an end.
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+KEY_FILLER = re.compile(r"\\[nr]|[^A-Za-z0-9+/=]")
+KEY_STRETCH = re.compile(r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]+={1,2})?")
 #: Shapes that only count when the corpus shows one owner for the value.
 EXTRA = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
+    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"
     r"|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"
 )
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567", re.IGNORECASE)
@@ -68,6 +72,29 @@ def _digest(value: str) -> str:
     return hashlib.sha256(value.encode()).hexdigest()[:32]
 
 
+def key_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of private keys, up to their END line, or as far as the text looks like a body where it is missing.
+
+    The body is what tells keys apart, however its lines are wrapped. A header without one has its own line instead.
+    """
+    begins = list(KEY_BEGIN.finditer(text)) if "PRIVATE KEY" in text else []
+    found = []
+    for m, limit in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
+        last = KEY_END.search(text, m.end(), limit)
+        body_end, end = last.span() if last else [KEY_STRETCH.match(text, m.end(), limit).end()] * 2
+        found.append((m.start(), end, KEY_FILLER.sub("", text[m.end() : body_end]) or m[0]))
+    return found
+
+
+def extra_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the extra shapes: whole private keys, and strong values between them."""
+    keys = key_spans(text)
+    found = list(keys)
+    for at, limit in zip([0, *(e for _, e, _ in keys)], [*(s for s, _, _ in keys), len(text)]):
+        found += [(at + m.start(), at + m.end(), m[0]) for m in EXTRA.finditer(text[at:limit]) if is_strong(m[0])]
+    return sorted(found)
+
+
 def scan_text(text: str | None) -> tuple[list, list]:
     """(base spans, candidates with hashes) of one text. Candidates hold the base values and the extra shapes."""
     if not text:
@@ -75,10 +102,10 @@ def scan_text(text: str | None) -> tuple[list, list]:
     base = base_spans(text)
     candidates = [(k, s, e, _digest(v), is_strong(v)) for k, s, e, v in base]
     covered = [(s, e) for _, s, e, _ in base]
-    for m in EXTRA.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in covered) and (m[0][0] == "-" or is_strong(m[0])):
-            candidates.append(("extra", s, e, _digest(m[0]), True))
+    for s, e, v in extra_spans(text):
+        # A key counts even where a base pattern meets its header ("secret: -----BEGIN").
+        if text.startswith("-----BEGIN", s) or not any(a < e and s < b for a, b in covered):
+            candidates.append(("extra", s, e, _digest(v), True))
     return [x[:3] for x in base], candidates
 
 
