@@ -81,6 +81,14 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert [(e, v) for _, e, v in secret_scan.key_spans(f"{begin} is a header")] == [(len(begin), begin)]
 
 
+def test_repositories_of_one_owner_count(spark):
+    many, some, few = "sk-q9Zk3LmP0aXw7RtY2uVb5NcD8eFh1GjK", "sk-A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6", "sk-Z9y8X7w6V5u4T3s2R1q0P9o8N7m6L5k4"
+    data = [(i, many, "en", "hot") for i in range(30)] + [(100 + i, some, "en", "hot") for i in range(11)] + [(200 + i % 10, few, "en", "hot") for i in range(40)]
+    found = secret_scan.find_secrets(docs_of(spark, data)).collect()
+    verdict = {(r.doc_id // 100, len(r.all), r.n_live, r.n_example) for r in found}
+    assert len(found) == 81 and verdict == {(0, 0, 0, 1), (1, 0, 0, 0), (2, 1, 1, 0)}
+
+
 # ---- languages
 
 

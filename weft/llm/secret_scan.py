@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found text by text. Their hashes are then aggregated over the whole
-corpus by distinct repositories and distinct owners: a value that several owners
-carry is a copied example, a value that one owner carries is treated as live. Only
-values that look live add spans to those of the three base patterns.
+corpus by distinct repositories and distinct owners: a value that several owners or
+many repositories carry is a copied example, a value that one owner carries in few
+repositories is treated as live. Only values that look live add spans to those of
+the three base patterns.
 """
 
 from __future__ import annotations
@@ -132,29 +133,30 @@ def _scanned(docs: DataFrame, row: Column, id_col: str, text_col: str, owner_col
     return stash(rows.select("row", "repo", "owner", "found.*").withColumn("uid", F.monotonically_increasing_id()), "secrets")
 
 
-def _judged(scanned: DataFrame, max_owners: int, example_owners: int) -> DataFrame:
+def _judged(scanned: DataFrame, max_owners: int, example_owners: int, max_repos: int, example_repos: int) -> DataFrame:
     """uid, added (live spans of the extra shapes), n_live, n_example of the rows that hold candidates."""
     seen = scanned.where(F.size("candidates") > 0).select("uid", "repo", "owner", F.explode("candidates").alias("c"))
-    # Ownership counts; each step is pre-aggregated in the map tasks, and its keys spread a hot value over its repositories.
-    by_owner = seen.select("c.hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    owners = stash(by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos")), "owners")
+    # Ownership counts: rows are made distinct by value and owner, and by value and repository, before a value's rows meet.
+    owners = stash(seen.groupBy("c.hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos")), "owners")
     judged = seen.select("uid", F.col("c.hash").alias("hash"), "c").join(owners, "hash")
-    live = F.col("c.strong") & (F.col("n_owners") <= max_owners)
+    live = F.col("c.strong") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     return judged.groupBy("uid").agg(
         F.collect_list(F.when(live & (F.col("c.kind") == "extra"), F.struct("c.kind", "c.start", "c.end"))).alias("added"),
         F.count_if(live).alias("n_live"),
-        F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
+        F.count_if(example).alias("n_example"),
     )
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3, max_repos: int = 10, example_repos: int = 30
 ) -> DataFrame:
     """Secrets of every whole text: id, base and all (arrays of kind, start, end), n_live long, n_example long.
 
     ``owner_col`` names who a row belongs to and ``repo_col`` the repository (the
     row's id where there is none). A candidate is live when it looks random and at
-    most ``max_owners`` owners carry it, an example when ``example_owners`` or more
+    most ``max_owners`` owners carry it in at most ``max_repos`` repositories, an
+    example when ``example_owners`` owners or ``example_repos`` repositories or more
     do. Base spans always stay; live candidates of the extra shapes are added.
 
     Null and empty texts have no spans. A null owner counts as one owner of its own.
@@ -162,7 +164,7 @@ def find_secrets(
     of ``docs`` are not read, so their names can't clash. An empty table gives no rows.
     """
     scanned = _scanned(docs, F.col(id_col), id_col, text_col, owner_col, repo_col)
-    added = _judged(scanned, max_owners, example_owners)
+    added = _judged(scanned, max_owners, example_owners, max_repos, example_repos)
     rank = lambda x: F.when(x["kind"] == "extra", 9).otherwise(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int"))
     by_start = lambda xs: F.transform(
         F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))),
@@ -203,7 +205,7 @@ def redact_text(text: str | None, mark: str = "[SECRET]", added: Iterable[tuple[
 
 
 def redact_secrets(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, example_owners: int = 3, max_repos: int = 10, example_repos: int = 30
 ) -> DataFrame:
     """``docs`` with the spans that ``find_secrets`` calls "all" replaced in ``text_col``: base secrets and live extra ones.
 
@@ -211,7 +213,7 @@ def redact_secrets(
     the extra shapes meet the verdicts in a join; the others are rewritten in place.
     """
     scanned = _scanned(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), id_col, text_col, owner_col, repo_col)
-    added = _judged(scanned, max_owners, example_owners).where(F.size("added") > 0).select("uid", "added")
+    added = _judged(scanned, max_owners, example_owners, max_repos, example_repos).where(F.size("added") > 0).select("uid", "added")
     extra = F.exists("candidates", lambda c: c["kind"] == "extra")
     met = scanned.where(extra).select("uid", "row").join(added, "uid", "left").select("row", "added")
     rows = met.unionByName(scanned.where(~extra).select("row", F.lit(None).cast(T.ArrayType(SPAN)).alias("added")))
