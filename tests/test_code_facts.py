@@ -85,3 +85,11 @@ def test_board(spark):
     assert [r.feature for r in backlog.board(df, version="1.1").orderBy("feature").collect()] == ["F-1", "F-2"]
     assert [r.feature for r in backlog.board(df, text="BUYER").collect()] == ["F-1"]
     assert backlog.board(df, epic="E2", text="orders").isEmpty()
+
+
+def test_flat_messages_keep_every_string_at_any_depth(spark):
+    deep = '{"a":' * 60 + '"end"' + "}" * 60
+    odd = r'{"y": "2024", "t": "true", "d": "[Draft] title", "o": "{\"k\": \"v\"}", "e": "", "n": 5, "b": true, "l": ["x"], "z": null, "h": "\ud800", "p": {"": "q"}}'
+    df = spark.createDataFrame([(1, deep), (2, odd), (3, None), (4, "{bad"), (5, "[]"), (6, '{"a": {"b": "x"}, "a.b": "last"}')], "file long, json string")
+    want = [(1, ".".join("a" * 60), "end"), (2, "d", "[Draft] title"), (2, "e", ""), (2, "h", "\ufffd"), (2, "o", '{"k": "v"}'), (2, "p.", "q"), (2, "t", "true"), (2, "y", "2024"), (6, "a.b", "last")]
+    assert sorted(tuple(r) for r in proofs.flat_messages(df).collect()) == want

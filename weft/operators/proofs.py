@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Half of a surrogate pair: JSON can escape one, no column can hold it.
+LONE = re.compile("[\ud800-\udfff]")
 
 PROOF = r"([\w./-]+\.[A-Za-z]{1,5}):(\d+)(?:-(\d+))?"
 
@@ -78,21 +87,45 @@ def api_paths(code: DataFrame) -> DataFrame:
     return code.select("file", F.explode(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\$\{[^}]*\}", ":param")))).alias("path"))
 
 
-def flat_messages(messages: DataFrame, depth: int = 4) -> DataFrame:
-    """file, key, value: nested objects of strings as dotted keys (I01), level by level down to ``depth``.
+def _flat(text: str | None) -> list[dict[str, str]]:
+    """Dotted key and value of every string leaf; nothing where the text is not valid JSON. Of equal keys the last one stays."""
+    try:
+        # Numbers are left out, so floats will do: they have no limit of digits.
+        root = json.loads(text or "null", parse_int=float, parse_constant=_refuse)
+    except ValueError:
+        return []
+    out, open_ = {}, [("", iter(root.items()))] if isinstance(root, dict) else []
+    while open_:
+        prefix, items = open_[-1]
+        for name, value in items:
+            key = f"{prefix}.{name}" if prefix else name
+            if isinstance(value, str):
+                out[key] = value
+            elif isinstance(value, dict):
+                open_.append((key, iter(value.items())))
+                break
+        else:
+            open_.pop()
+    return [{"key": LONE.sub("\ufffd", k), "value": LONE.sub("\ufffd", v)} for k, v in out.items()]
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("key", "string").add("value", "string")))
+def _flat_messages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([_flat(t) for t in texts], dtype=object)
+
+
+def flat_messages(messages: DataFrame) -> DataFrame:
+    """file, key, value: nested objects of strings as dotted keys (I01), at any depth.
 
-    ``messages``: file, json. Values that aren't text are left out.
+    ``messages``: file, json. Values that aren't text are left out; strings stay as they
+    are, whatever they look like.
     """
-    level = messages.select("file", F.lit("").alias("key"), F.col("json").alias("value"))
-    out = None
-    for _ in range(depth):
-        names = level.select("file", "key", "value", F.explode(F.json_object_keys("value")).alias("name"))
-        inner = F.from_json("value", "map<string,string>")
-        level = names.select("file", F.concat("key", F.when(F.col("key") == "", "").otherwise("."), "name").alias("key"), F.try_element_at(inner, F.col("name")).alias("value"))
-        leaves = level.where("value IS NOT NULL AND json_object_keys(value) IS NULL AND NOT value RLIKE '^(\\\\[|-?[0-9.]+$|true$|false$)'")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = level.where("json_object_keys(value) IS NOT NULL")
-    return out
+    return messages.select("file", F.explode(_flat_messages("json")).alias("m")).select("file", "m.key", "m.value")
 
 
 def latest_records(records: DataFrame, key: str) -> DataFrame:

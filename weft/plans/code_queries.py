@@ -62,7 +62,7 @@ def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     text = F.concat(F.lit('{"a": {"b": "x'), "event_id", F.lit('", "n": 5}, "c": "'), "event_type", F.lit('", "k": '), "user_id", F.lit("}"))
-    return proofs.flat_messages(e.select(F.col("event_id").alias("file"), text.alias("json")), depth=2)
+    return proofs.flat_messages(e.select(F.col("event_id").alias("file"), text.alias("json")))
 
 
 @query(
