@@ -15,10 +15,12 @@ def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
 
 
 def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str) -> DataFrame:
-    """item, first text that holds one of its spellings as whole words, number of such texts.
+    """item, first text that holds one of its spellings as whole words, number of such texts.
 
     Spellings are single words: both sides meet by equality on words instead of every
     item being looked up in every text.
+    Less than C02 and C03, which are open: a spelling of several words or inside a word
+    never meets a text, and items without a text have no row.
     """
     words = texts.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     wanted = items.select(item_key, F.explode(match).alias("m")).select(item_key, F.lower("m").alias("word")).distinct()
