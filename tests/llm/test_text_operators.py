@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -183,6 +184,48 @@ def test_article_text(spark):
     assert html_text.extract_pages(pages.where("false")).count() == 0
 
 
+STOP = frozenset("the of and to it is in for this with".split())
+LONG = "It is the long text of the article with all of the words in it and for this page. " * 2
+
+
+def test_container_names_count_as_whole_words_only():
+    extract = lambda page: html_text.extract_text(page, STOP).split("\n\n")
+    text = LONG.strip()
+    assert extract(f'<div class="post with-sidebar"><article><p>{LONG}</p></article></div>') == [text]
+    assert extract(f'<div class="entry-header"><h1>Title</h1></div><p>{LONG}</p>') == ["Title", text]
+    assert extract(f"<main><p>Hi</p></main><div><p>{LONG}</p></div>") == ["Hi", text]
+    assert extract(f'<div class="sidebar"><h1>Title</h1><p>{LONG}</p></div>') == ["Title", text]
+    assert extract(f'<div class="left sidebar"><p>{LONG}</p></div><article><p>{LONG}</p><p>Yes.</p></article><div class="site-footer">{LONG}</div>') == [text, "Yes."]
+    assert extract(f'<p>{LONG}</p><div id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>') == [text]
+    assert extract(f'<article><p>{LONG}</p><p><a href="/x">{LONG}</a></p></article>') == [text]
+
+
+def test_long_blocks_of_few_stop_words_go_outside_an_article():
+    listing = " | ".join(f"label{i}" for i in range(40))
+    assert html_text.extract_text(f"<div>{listing}</div><div>{LONG}</div>", STOP) == LONG.strip()
+    assert html_text.extract_text(f"<article><div>{listing}</div><div>{LONG}</div></article>", STOP) == f"{listing}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("piece", ["<a x", '<a x="', "<!--", "<![CDATA[", "<script></script ", "<", "<div class=ad>a", "<a '\">", "<p>x<a \"> '", "</p", "<!x", "<form><p>x", "&amp", "< >"])
+def test_malformed_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_text.extract_text(piece * (1_000_000 // len(piece)), STOP)
+    assert time.perf_counter() - began < 20  # a quadratic scan takes hours
+
+
+def test_generated_pages_give_their_article():
+    rng = random.Random(5)
+    words = [*STOP, *(f"word{i}" for i in range(300))]
+    some = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+    for _ in range(60):
+        parts = [some(1, 8), *(some(1, 90) for _ in range(rng.randint(1, 9)))]
+        body = "<h1>" + parts[0] + "</h1>" + "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}</b></p>"]).format(x.replace(" ", rng.choice([" ", "\n ", "&#32;"]))) for x in parts[1:])
+        noise = [f"<nav><a href=/>{some(1, 3)}</a></nav>", f'<div class="ad">{some(5, 40)}</div>', f"<aside>{some(5, 60)}</aside>", f'<form><p>{some(2, 9)}</p></form>', f"<script>{some(1, 9)}<p></script>", f'<section id="comments"><p>{some(9, 50)}</p></section>']
+        rng.shuffle(noise)
+        page = f"<!DOCTYPE html><html><head><title>{some(1, 5)}</title></head><body>{''.join(noise[:3])}<article>{body}</article>{''.join(noise[3:])}<footer>{some(3, 30)}</footer></body></html>"
+        assert html_text.extract_text(page, STOP) == "\n\n".join(parts)
+
+
 def test_page_without_article_inherits_from_neighbours():
     words = frozenset("the of and in it is that".split())
     long = "The text of the house is in the water and it is that which the rest of it is in and the like of it."
