@@ -66,8 +66,8 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.join(p, "model", "left").select("model", "tokens_in", "tokens_out", F.round(cost, 8).alias("cost"))
 
 
-def file_history(commits: DataFrame, tracked: DataFrame | None = None, limit: int | None = 300) -> DataFrame:
-    """Commits, churn, authors, owner, its share and last date of each file (D03). The limit is the report's top."""
+def file_history(commits: DataFrame, tracked: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Commits, churn, authors, owner, its share and last date of each file (D03). A report that shows only its top gives ``limit``."""
     rows = commits if tracked is None else commits.join(tracked.select("path").distinct(), "path", "left_semi")
     by_author = rows.groupBy("path", "author").agg(F.count("*").alias("n"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.max("date").alias("last"))
     files = by_author.groupBy("path").agg(

@@ -92,11 +92,11 @@ SIGNALS = (
 KINDS = {"search": "search", "filter": "search", "sort": "list", "pagination": "list", "trigger": "form", "values": "form", "validation": "form", "scope": "access", "export": "export", "import": "import", "notification": "notification", "schedule": "job"}
 
 
-def behaviours(files: DataFrame, most: int = 5000) -> DataFrame:
-    """family, signal, file, line: hints of behaviour, each once (J08, J09). The limit is the report's, taken in order."""
+def behaviours(files: DataFrame, most: int | None = None) -> DataFrame:
+    """family, signal, file, line: hints of behaviour, each once (J08, J09). A report that shows only its first rows gives ``most``."""
     each = F.array_compact(F.array(*[F.when(F.col("l").rlike(p), F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal"))) for f, s, p in SIGNALS]))
     rows = code_lines(files).select("file", "line", F.explode(each).alias("b")).select("b.family", "b.signal", "file", "line").distinct()
-    return rows.orderBy("file", "line", "family", "signal").limit(most)
+    return rows if most is None else rows.orderBy("file", "line", "family", "signal").limit(most)
 
 
 def kinds_of(hints: DataFrame) -> DataFrame:

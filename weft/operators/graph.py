@@ -2,60 +2,78 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.numbering import numbered
+from weft.operators.tables import forget, saved
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written where driver and executors both see it, and read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/weft"
-    path = f"{root.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` saved, and ``old``, which it was computed from, removed."""
+    kept = saved(new)
+    forget(old)
+    return kept
 
-def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Distinct (src, dst) pairs with a path of one edge or more. Paths double each round; meant for module graphs, not for corpora."""
-    found = saved(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    n = found.count()
-    for _ in range(most_rounds):
-        longer = found.alias("a").join(found.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        found = saved(found.union(longer).distinct())
-        more = found.count()
-        if more == n:
-            break
-        n = more
-    return found
 
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component, size of every cycle of more than one node (G03): mutual reach, named by its smallest node.
-
-    Nodes that start or end every path are trimmed first, until each has an edge both ways.
-    """
-    left = saved(edges.select("src", "dst").where("src <> dst").distinct())
+def ends_trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when nodes without an edge in, or without one out, are removed again and again."""
+    left = saved(edges)
     n = left.count()
     while n:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = saved(kept.select("src", "dst"))
+        left = replaced(left, kept.select("src", "dst"))
         more = left.count()
         if more == n:
             break
         n = more
-    paths = reach(left)
-    both = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    named = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"), F.count_distinct("other").alias("size"))
-    return named.where("size > 1").select("node", "component", "size")
+    return left
 
 
-def shortest_depths(roots: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
-    """node, depth, root: the fewest edges from any root, and the smallest root at that depth."""
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component, size of every cycle of more than one node (G03), named by its smallest node.
+
+    Colours run forward: each node takes the smallest node that reaches it. What of a
+    colour reaches its smallest node again is a component; the rest goes on without it.
+    No table grows beyond the edges. Self-loops and null ends take no part.
+    """
+    left = ends_trimmed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
+    none = left.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    found = none
+    while not left.isEmpty():
+        colour = saved(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            near = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            lower = colour.join(near, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("low"))
+            # What reaches the node of one's colour reaches oneself.
+            jump = lower.join(colour.select(F.col("node").alias("low"), F.col("colour").alias("lower")), "low").select("node", "old", F.least("low", "lower").alias("colour"))
+            after = saved(jump)
+            forget(colour)
+            colour = after.select("node", "colour")
+            if after.where("old <> colour").isEmpty():
+                break
+        inner = saved(left.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("own")), "dst").where("colour = own").select("src", "dst", "colour"))
+        member = saved(colour.where("node = colour"))
+        frontier = member
+        while True:
+            before = inner.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(member.select("node"), "node", "left_anti")
+            frontier = saved(before)
+            if frontier.isEmpty():
+                break
+            member = saved(member.unionByName(frontier))
+        found = saved(found.unionByName(member.select("node", F.col("colour").alias("component"))))
+        open_ = left.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = ends_trimmed(open_.select("src", "dst"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return found.join(sizes, "component").select("node", "component", "size")
+
+
+def shortest_depths(roots: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, depth, root: the fewest edges from any root, and the smallest root at that depth (G04, G06). ``most`` bounds the depth where the report does."""
     frontier = saved(roots.select(F.col("node"), F.lit(0).alias("depth"), F.col("node").alias("root")).distinct())
-    seen = frontier
-    for depth in range(1, most + 1):
+    seen, depth = frontier, 0
+    while most is None or depth < most:
+        depth += 1
         next_ = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy("dst").agg(F.min("root").alias("root"))
         next_ = next_.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "root").join(seen.select("node"), "node", "left_anti")
         frontier = saved(next_)
@@ -65,50 +83,72 @@ def shortest_depths(roots: DataFrame, edges: DataFrame, most: int = 12) -> DataF
     return seen
 
 
-def groups(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """node, group: connected components, named by their smallest node."""
-    both = saved(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).where("node IS NOT NULL AND other IS NOT NULL").distinct())
+def groups(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """node, group: connected components of the pairs (a, b), named by their smallest node.
+
+    Every node takes the smallest label around it and then the label of that label, until
+    nothing changes: the second step halves long chains, so rounds grow with the logarithm of a chain.
+    Minima are pre-aggregated in the map tasks, and labels are joined from a written table, so
+    that Spark can split the partition of a node with very many neighbours. No task
+    gathers a component. A pair with a null end takes no part; a node paired with itself is a group.
+    """
+    kept = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    both = saved(kept.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct())
     label = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("group")))
     for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("group").alias("near"))
-        lower = label.join(near, "node").select("node", F.least("group", "near").alias("group"))
-        # A label is a node too: its own label may be lower by now.
-        jump = saved(lower).alias("x")
-        after = saved(jump.join(label.select(F.col("node").alias("g"), F.col("group").alias("lower")), F.col("x.group") == F.col("g"), "left").select("x.node", F.least("x.group", F.coalesce("lower", "x.group")).alias("group")))
-        changed = after.join(label.withColumnRenamed("group", "old"), "node").where("group <> old").isEmpty()
-        label = after
-        if changed:
+        if label.isEmpty():
+            break
+        around = both.join(label.select(F.col("node").alias("other"), F.col("group").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        lower = label.join(around, "node").select("node", F.col("group").alias("old"), F.least("group", "near").alias("low"))
+        further = lower.join(label.select(F.col("node").alias("low"), F.col("group").alias("lower")), "low")
+        after = replaced(label, further.select("node", "old", F.least("low", "lower").alias("group")))
+        label = after.select("node", "group")
+        if after.where("old <> group").isEmpty():
             break
+    else:
+        raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
+    forget(both)
     return label
 
 
-def topological(edges: DataFrame, most: int = 64) -> DataFrame:
+def topological(edges: DataFrame) -> DataFrame:
     """node, level: needs before dependants (F07, G08); nodes of a cycle, and those behind one, have a null level.
 
-    ``edges``: src needs dst. A level is the longest chain of needs below a node.
+    ``edges``: src needs dst. A level is the longest chain of needs below a node; there is one round for each level.
     """
-    rows = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    nodes = saved(rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    left, done = saved(rows), None
-    for level in range(most):
-        open_ = left.select(F.col("src").alias("node")).distinct()
-        ready = nodes.join(open_, "node", "left_anti") if done is None else nodes.join(open_, "node", "left_anti").join(done, "node", "left_anti")
-        ready = saved(ready.select("node", F.lit(level).alias("level")))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else saved(done.unionByName(ready))
-        left = saved(left.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return nodes.join(done, "node", "left") if done is not None else nodes.withColumn("level", F.lit(None).cast("int"))
+    rows = saved(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    needs = rows.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("needs"))
+    nodes = rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    rest = saved(nodes.join(needs, "node", "left").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
+    done, level = [], 0
+    while not (ready := rest.where("needs = 0").select("node")).isEmpty():
+        done.append(ready.withColumn("level", F.lit(level)))
+        met = rows.join(ready.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"))
+        rest = saved(rest.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs")))
+        level += 1
+        if level % 50 == 0:  # one table again, so that a long chain isn't a union of thousands
+            done = [saved(_union(done))]
+    return _union([*done, rest.select("node", F.lit(None).cast("int").alias("level"))])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def late_states(states: DataFrame, needs: DataFrame) -> DataFrame:
-    """node, state: a fresh node is stale when anything it needs, near or far, isn't fresh."""
-    paths = reach(needs)
-    late = paths.join(states.where("state <> 'fresh'").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().withColumn("late", F.lit(True))
-    return states.join(late, "node", "left").select("node", F.when((F.col("state") == "fresh") & F.col("late"), "stale").otherwise(F.col("state")).alias("state"))
+    """node, state: a fresh node is stale when anything it needs, near or far, isn't fresh (G11): a walk from those towards what needs them."""
+    seen = frontier = saved(states.where("state <> 'fresh'").select("node").distinct())
+    rows = saved(needs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    while not frontier.isEmpty():
+        frontier = saved(rows.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = saved(seen.unionByName(frontier))
+    return states.join(seen.withColumn("late", F.lit(True)), "node", "left").select("node", F.when((F.col("state") == "fresh") & F.col("late"), "stale").otherwise(F.col("state")).alias("state"))
 
 
 def run_plan(states: DataFrame, named: DataFrame, levels: DataFrame) -> DataFrame:
     """Steps to run, in order: the named ones and everything stale."""
     wanted = states.where("state <> 'fresh'").select("node").unionByName(named.select("node")).distinct()
-    return wanted.join(levels, "node").select("node", F.row_number().over(Window.orderBy("level", "node")).alias("step"))
+    return numbered(wanted.join(levels, "node").select("node", "level"), ("level", "node"), "step").select("node", "step")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import normal_route
+from weft.operators.numbering import numbered
 
 
 def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
@@ -14,17 +15,41 @@ def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
     return history.join(quality, "file").select("file", "commits", (F.col("commits") * weight).cast("long").alias("score"))
 
 
-def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str) -> DataFrame:
-    """item, first text that holds one of its spellings as whole words, number of such texts.
+def _grams(text: Column, length: int) -> Column:
+    """Every run of ``length`` characters, also where they overlap."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
-    Spellings are single words: both sides meet by equality on words instead of every
-    item being looked up in every text.
-    Less than C02 and C03, which are open: a spelling of several words or inside a word
-    never meets a text, and items without a text have no row.
+
+def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str, whole: str | None = None, gram: int = 6) -> DataFrame:
+    """item, first text that holds one of its spellings, number of such texts; 0 and null for an item without any.
+
+    Case and runs of white space don't count. A spelling may have several words and may
+    stand inside a word, unless the column ``whole`` is true for its item. Texts and
+    spellings meet by equality on one ``gram`` of characters: the spelling's is the one
+    that fewest texts have; spellings shorter than that meet by grams of their own
+    length. What meets is then verified on the whole text. Empty spellings and null texts don't count.
     """
-    words = texts.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    wanted = items.select(item_key, F.explode(match).alias("m")).select(item_key, F.lower("m").alias("word")).distinct()
-    return wanted.join(words, "word").groupBy(item_key).agg(F.min(text_key).alias("first"), F.count_distinct(text_key).alias("texts"))
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    wanted = items.select(item_key, (F.col(whole) if whole else F.lit(False)).alias("whole"), F.explode(match).alias("m"))
+    wanted = wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct().withColumn("size", F.least(F.length("m"), F.lit(gram)))
+    of_spelling = wanted.select("m", "size").distinct().select("m", "size", F.explode(F.array_distinct(_grams(F.col("m"), gram))).alias("g"))
+    own = texts.select(text_key, fold(text).alias("t")).where("t <> ''")
+    found = own.select(text_key, F.explode(F.array_distinct(_grams(F.col("t"), gram))).alias("g")).join(of_spelling.where(F.col("size") == gram).select("g").distinct(), "g", "left_semi")
+    seen = found.groupBy("g").agg(F.count("*").alias("n"))
+    chosen = of_spelling.where(F.col("size") == gram).join(seen, "g", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).getField("g").alias("g"))
+    met = found.join(chosen, "g").select(text_key, "m")
+    for size in range(1, gram):  # short spellings; their grams are themselves
+        short = wanted.where(F.col("size") == size).select("m").distinct()
+        met = met.unionByName(own.select(text_key, F.explode(F.array_distinct(_grams(F.col("t"), size))).alias("m")).join(short, "m"))
+    edge = r"(?:^|$|[^\p{L}\p{N}])"
+    holds = F.when(F.col("whole"), F.regexp_like("t", F.concat(F.lit(edge + r"\Q"), F.regexp_replace("m", r"\\E", ""), F.lit(r"\E" + edge)))).otherwise(F.contains("t", "m"))
+    hits = met.join(own, text_key).join(wanted, "m").where(holds).select(item_key, text_key).distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
+    return items.select(item_key).distinct().join(hits, item_key, "left").select(item_key, "first", F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+def coverage_totals(report: DataFrame) -> DataFrame:
+    """items, covered, share in per cent: the totals of ``covered``'s report."""
+    return report.agg(F.count("*").alias("items"), F.count_if(F.col("texts") > 0).alias("covered")).select("items", "covered", F.when(F.col("items") > 0, F.floor(100 * F.col("covered") / F.col("items") + 0.5)).alias("share"))
 
 
 def route_segments(route: Column | str) -> Column:
@@ -173,11 +198,10 @@ def translated(source: DataFrame, translation: DataFrame, keys: tuple[str, ...],
 def append_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates that share no route with an existing row, numbered after the largest number.
 
-    ``existing``: n, routes; ``candidates``: pos, routes. The numbering takes one row for each candidate left.
+    ``existing``: n, routes; ``candidates``: pos, routes.
     """
     taken = existing.select(F.explode("routes").alias("route")).distinct()
     shared = candidates.select("pos", F.explode("routes").alias("route")).join(taken, "route", "left_semi").select("pos").distinct()
-    last = existing.agg(F.coalesce(F.max("n"), F.lit(0)).alias("last"))
-    fresh = candidates.join(shared, "pos", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("pos")))
-    added = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("k")).alias("n"), "routes")
-    return existing.select("n", "routes").unionByName(added)
+    last = existing.agg(F.coalesce(F.max("n"), F.lit(0)).alias("last")).first().last
+    fresh = numbered(candidates.join(shared, "pos", "left_anti").select("pos", "routes"), ("pos",), "k")
+    return existing.select("n", "routes").unionByName(fresh.select((F.col("k") + last).alias("n"), "routes"))

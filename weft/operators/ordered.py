@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.numbering import numbered
+
 from weft.functions.text import token_estimate
 
 
@@ -80,4 +82,5 @@ def touched_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
 
 def reading_order(toc: DataFrame) -> DataFrame:
     """Pages in outline order, numbered (E11). ``toc``: section, section_pos, group_pos, page_pos, page."""
-    return toc.select("page", F.row_number().over(Window.orderBy("section_pos", "group_pos", "page_pos", "page")).alias("n"))
+    order = ("section_pos", "group_pos", "page_pos", "page")
+    return numbered(toc.select(*order), order, "n").select("page", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,17 +60,24 @@ def strongest_guard(guards: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("none", "unknown", "user", "role"))), most + 1)
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 3) -> DataFrame:
-    """doc, name, n: names found word for word; where names overlap, only the longest that starts at a word counts.
+#: Names that one pattern may hold; more would be a table to join, not a catalogue.
+MOST_NAMES = 20_000
 
-    ``names``: name, words (array of lower-case words). Texts become runs of one to
-    ``most_words`` words, which meet the names by equality.
+
+def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, name, n: names found word for word, from left to right; at each word the longest name counts, and its words aren't read again.
+
+    ``names`` (name, words: array of lower-case words) is a catalogue of at most
+    MOST_NAMES rows, which becomes one pattern; so a text is read once, inside its row.
+    Of names of the same words the smallest counts. Names without words and null texts
+    give no rows.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}+#]+"), F.lit(0))
-    runs = texts.select(key, words.alias("w")).select(key, "w", F.posexplode("w").alias("at", "first"))
-    lengths = F.sequence(F.lit(1), F.lit(most_words))
-    runs = runs.select(key, "at", F.explode(F.transform(lengths, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("run")))).alias("r"))
-    listed = names.select("name", F.array_join("words", " ").alias("run"), F.size("words").alias("n"))
-    met = runs.select(key, "at", F.col("r.n").alias("n"), F.col("r.run").alias("run")).join(listed, ["run", "n"])
-    longest = met.groupBy(key, "at").agg(F.max_by("name", "n").alias("name"))
-    return longest.groupBy(key, "name").agg(F.count("*").alias("n"))
+    listed = names.where(F.size("words") > 0).groupBy(F.array_join("words", " ").alias("run"), F.size("words").alias("n_words")).agg(F.min("name").alias("name"))
+    runs = [r.run for r in listed.orderBy(F.desc("n_words"), F.desc(F.length("run")), "run").limit(MOST_NAMES + 1).select("run").collect()]
+    if len(runs) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    escaped = [re.sub(r"([^\w ])", r"\\\1", run) for run in runs]
+    pattern = rf"(?<![^ ])(?:{'|'.join(escaped)})(?![^ ])" if runs else r"(?!)"
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}+#]+", " ")
+    found = texts.select(key, F.explode(F.regexp_extract_all(words, F.lit(pattern), F.lit(0))).alias("run")).groupBy(key, "run").agg(F.count("*").alias("n"))
+    return found.join(listed.select("run", "name"), "run").select(key, "name", "n")

@@ -20,14 +20,29 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.hotspots(history, load(spark, sf_dir, "quality"))
 
 
-@query(
-    r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents),
-    m AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3]) AS word FROM benchmark)
-    SELECT item_id, min(doc_id) AS first, count(DISTINCT doc_id) AS texts FROM m JOIN w USING (word) GROUP BY 1"""
-)
+FOLDED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+COVERED = f"""WITH t AS (SELECT doc_id, {FOLDED.format('text')} AS t FROM documents),
+    m AS (SELECT DISTINCT item_id, item_id % 3 = 0 AS whole, {FOLDED.format('unnest(string_split(text, chr(46)) || [left(text, 4), split_part(text, chr(32), 2)])')} AS m FROM benchmark),
+    h AS (SELECT DISTINCT item_id, doc_id FROM m, t WHERE m <> '' AND CASE WHEN NOT contains(t, m) THEN false WHEN NOT whole THEN true ELSE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(m) || '($|[^\\p{{L}}\\p{{N}}])') END),
+    c AS (SELECT item_id, min(doc_id) AS first, count(doc_id) AS texts FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN h USING (item_id) GROUP BY 1)"""
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of each benchmark text, its first four characters and its second word, in the whole documents."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    spellings = F.concat(F.split("text", r"\."), F.array(F.substring("text", 1, 4), F.split_part("text", F.lit(" "), F.lit(2))))
+    items = b.select("item_id", spellings.alias("match"), (F.col("item_id") % 3 == 0).alias("whole"))
+    return joins.covered(items, load(spark, sf_dir, "docs"), "item_id", "match", "doc_id", "text", "whole")
+
+
+@query(COVERED + " SELECT item_id, first, texts FROM c")
 def covered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 3).alias("match"))
-    return joins.covered(items, load(spark, sf_dir, "docs"), "item_id", "match", "doc_id", "text")
+    return _covered(spark, sf_dir)
+
+
+@query(COVERED + " SELECT count(*) AS items, count(*) FILTER (texts > 0) AS covered, CAST(floor(100.0 * count(*) FILTER (texts > 0) / count(*) + 0.5) AS BIGINT) AS share FROM c")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.coverage_totals(_covered(spark, sf_dir))
 
 
 NORMAL = r"regexp_replace({0}, '\[[^\]/]+\]|\{{[^}}/]+\}}|:[A-Za-z_]\w*', '{{}}', 'g')"

@@ -94,7 +94,7 @@ HISTORY = """, a AS (SELECT path, author, count(*) AS n, sum(added + deleted) AS
     SELECT file, commits, churn, authors, owner, CAST(floor(n * 100.0 / commits + 0.5) AS BIGINT) AS owner_share, last FROM f JOIN o USING (file)"""
 
 
-@query(cte("commits") + HISTORY + " ORDER BY commits DESC, churn DESC, file LIMIT 300")
+@query(cte("commits") + HISTORY)
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.file_history(load(spark, sf_dir, "commits"))
 
