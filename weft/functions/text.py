@@ -125,7 +125,7 @@ def word_count(text: Column | str) -> Column:
 def headings(text: Column | str) -> Column:
     """Titles of second and third level headings outside fences."""
     unfenced = F.regexp_replace(col(text), r"(?s)(?:^|\n)```.*?\n```", "\n")
-    return F.transform(F.regexp_extract_all(unfenced, F.lit(r"(?m)^#{2,3} +(.+?)\s*$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(unfenced, F.lit(r"(?m)^#{2,3} +(.+?)\s*$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def hidden_characters(text: Column | str) -> Column:
