@@ -100,16 +100,27 @@ def test_graphs(spark):
     assert {r.node: r.depth for r in graph.shortest_depths(roots, edges).collect()} == {"f": 0, "a": 1, "b": 2, "c": 3}
     pairs = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7)], "a long, b long")
     assert rows(graph.groups(pairs)) == [(3, 3), (4, 3), (5, 3), (7, 7), (8, 8), (9, 8)]
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(70)], "src string, dst string")
+    assert {r.level for r in graph.topological(chain).collect()} == set(range(71))
+    assert max(r.depth for r in graph.shortest_depths(spark.createDataFrame([("000",)], "node string"), chain.where("src < '016'")).collect()) == 16
+    states = spark.createDataFrame([("000", "fresh"), ("001", "fresh"), ("009", "fresh"), ("002", "stale")], "node string, state string")
+    assert rows(graph.late_states(states, chain.where("src < '012'"))) == [("000", "stale"), ("001", "stale"), ("002", "stale"), ("009", "fresh")]
     empty = spark.createDataFrame([], "src string, dst string")
     assert graph.strong_components(empty).isEmpty() and graph.topological(empty).isEmpty()
 
 
 def test_scan_and_mentions(spark):
     files = spark.createDataFrame([("a.js", 'x\nel.innerHTML = y\nel.innerHTML = sanitize(y)\nconst token = "abcdefghij"'), ("b.py", "eval(x)\nmy.eval(x)")], "file string, text string")
-    assert rows(scanners.scan(files, scanners.SECURITY_RULES).select("file", "line", "rule")) == [("a.js", 2, "xss.innerHTML"), ("a.js", 4, "secret.default"), ("b.py", 1, "code.eval")]
+    got = rows(scanners.scan(files, scanners.SECURITY_RULES).select("file", "line", "rule", "severity"))
+    assert got == [("a.js", 2, "xss.innerHTML", "low"), ("a.js", 3, "xss.innerHTML", "low"), ("a.js", 4, "secret.default", "medium"), ("b.py", 1, "code.eval", "high")]
+    assert scanners.scan(files.where("false"), scanners.SECURITY_RULES).isEmpty()
     names = spark.createDataFrame([("Cosmos", ["azure", "cosmos", "db"]), ("Azure", ["azure"])], "name string, words array<string>")
     docs = spark.createDataFrame([(1, "We use Azure Cosmos DB and azure.")], "doc_id long, text string")
     assert rows(scanners.mentions(docs, names)) == [(1, "Azure", 1), (1, "Cosmos", 1)]
+    longer = spark.createDataFrame([("MongoDB on Cosmos", "azure cosmos db for mongodb".split()), ("MongoDB", ["mongodb"]), ("C#", ["c#"]), ("C++", ["c++"]), ("empty", [])], "name string, words array<string>")
+    docs = spark.createDataFrame([(1, "We use Azure Cosmos DB for MongoDB."), (2, "C# and C++, not MongoDBs"), (3, None), (4, "")], "doc_id long, text string")
+    assert rows(scanners.mentions(docs, longer)) == [(1, "MongoDB on Cosmos", 1), (2, "C#", 1), (2, "C++", 1)]
+    assert scanners.mentions(docs, longer.where("false")).isEmpty()
 
 
 def test_states(spark):

@@ -165,13 +165,38 @@ def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.did_you_mean(keys, known)
 
 
+#: Lines of code, each with what the rules find in it, as (line, rule, severity, category).
+PLANTED = (
+    ("res.redirect(\n  safe(req.query.next))\nredirect('/home'); req.query.x", ((1, "redirect.open", "medium", "A01:2021"),)),
+    ("requests.get(u, verify=False)\nverify = Falsehood\nagent({ rejectUnauthorized: false })", ((1, "tls.disabled", "high", "A02:2021"), (3, "tls.disabled", "high", "A02:2021"))),
+    ("el.innerHTML = x\nel.innerHTML == y", ((1, "xss.innerHTML", "medium", "A03:2021"),)),
+    ("<p dangerouslySetInnerHTML={{ __html:\n  DOMPurify.sanitize(x) }} />", ((1, "xss.dangerouslySetInnerHTML", "low", "A03:2021"),)),
+    ("eval(x)\nmy.eval(y)\n/a/g.exec(z)\nnew  Function(q)", ((1, "code.eval", "high", "A03:2021"), (4, "code.eval", "high", "A03:2021"))),
+    ("require('child_process')\ncp.execSync (c)\n/a/g.exec(z)", ((2, "code.eval", "high", "A03:2021"),)),
+    ("q = f'SELECT {x}'\n\n\ndb.execute(q)\n\n\n\n\ndb.execute(z)", ((4, "sql.concat", "high", "A03:2021"),)),
+    ("cors({ origin: '*',\n credentials: true })", ((1, "cors.wildcardCredentials", "high", "A05:2021"),)),
+    ("allow_credentials=True\nx\nallow_origins=['*']", ((1, "cors.wildcardCredentials", "high", "A05:2021"),)),
+    ("DEBUG = True\ndebug: true\nDEBUG = Truest", ((1, "debug.enabled", "low", "A05:2021"), (2, "debug.enabled", "low", "A05:2021"))),
+    ("decode(t, options={'verify_signature': False})\nalgorithms=['HS256',\n 'none']", ((1, "jwt.noVerify", "high", "A07:2021"), (2, "jwt.noVerify", "high", "A07:2021"))),
+    ("secret_name = 'abcdefgh1'\npassword: \"********\"\ntoken = 'changeme'\napi-key = '****' + key.slice(4)\napiKey = 'short'", ((1, "secret.default", "medium", "A07:2021"),)),
+    ("app.post('/api/login', h)\n" + " " * 210 + "\napp.post('/signin', throttle, h)\n", ((1, "auth.noRateLimit", "info", "A07:2021"),)),
+    ("nothing = here", ()),
+)
+FOUND = ", ".join(f"({i}, {line}, '{rule}', '{severity}', '{category}')" for i, (_, found) in enumerate(PLANTED) for line, rule, severity, category in found)
+
+
 @query(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+    n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM d), f(k, line, rule, severity, category) AS (VALUES {FOUND})
     SELECT doc_id, CAST(line AS INT) AS line, 'secret.default' AS rule, 'medium' AS severity, 'A07:2021' AS category FROM l
-    WHERE regexp_matches(line_text, '(?i)(?:secret|password|api_?key|token)\\w*\\s*(?:=|:|\\|\\||\\?\\?)\\s*["''][^"''\\s]{8,}["'']') AND NOT regexp_matches(line_text, '(?i)change[-_]?me|example|\\*{3,}')"""
+    WHERE regexp_matches(x, '(?i)\\b(?:admin[a-z_]*|password\\w*|passwd\\w*|secret[a-z_]*|api[_-]?key\\w*|token\\w*)\\s*[:=]\\s*(?:"[^"\\n]{{8,}}"|''[^''\\n]{{8,}}''|`[^`\\n]{{8,}}`)')
+    UNION SELECT doc_id, CAST(n + line AS INT), rule, severity, category FROM n JOIN f ON k = doc_id % {len(PLANTED)}"""
 )
 def security_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanners.scan(docs(spark, sf_dir), scanners.SECURITY_RULES, key="doc_id")
+    """Every whole document with lines of code after it."""
+    code = F.element_at(F.array(*[F.lit(text) for text, _ in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    own = docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), code).alias("text"))
+    return scanners.scan(own, scanners.SECURITY_RULES, key="doc_id")
 
 
 @query(
