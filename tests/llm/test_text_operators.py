@@ -1,5 +1,6 @@
 """Secret scans, language identification, quality, HTML extraction, BPE: brute force, round trips, odd rows."""
 
+import hashlib
 import random
 import re
 import time
@@ -268,3 +269,22 @@ def test_long_unsplit_texts(spark, library):
     back = bpe.decode_ids(bpe.encode_texts(docs, PATH), PATH)
     assert {r.doc_id: r.decoded for r in back.collect()} == {i: x[1] for i, x in got.items()}
     assert bpe.encode_texts(docs.where("false"), PATH).count() == 0
+
+
+def test_registered_bpe_query_on_both_sides_of_its_bounds(spark, tmp_path):
+    """Unsplit runs and long texts around the query's own bounds, against the library."""
+    rng = random.Random(12)
+    run = lambda n: "".join(rng.choice("abcdeéßñ0'-") for _ in range(n))
+    words = lambda n: "  ".join(run(rng.randint(1, 9)) for _ in range(n))
+    texts = [run(bpe.LEAF - 1), run(bpe.LEAF), run(100_000), "a" * 300_000, words(20_000), words(3000)[: bpe.LONG_TEXT - 1], words(9000)[: bpe.LONG_TEXT], words(50) + "\n" + run(20_000) + "\t" + words(5000), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from weft.llm import catalog
+
+    out = catalog.op6_bpe(spark, str(tmp_path))
+    assert [c for c, _ in out.dtypes] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and dict(out.dtypes)["n_tokens"] == "bigint"
+    own = Tokenizer.from_file(PATH)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    for i, text in enumerate(texts):
+        ids = own.encode(text or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), digest(" ".join(map(str, ids))), digest(own.decode(ids, skip_special_tokens=False))), i
