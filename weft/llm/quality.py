@@ -148,7 +148,9 @@ def fit_quality(
 ) -> RuleModel:
     """Fit on at most ``max_rows`` labelled ids, those whose hash is smallest.
 
-    Null labels and ids take no part. With one class only, the score is its share
+    Null labels and ids take no part. Of labels that contradict each other for one id
+    the larger counts. Each row of a labelled id is one row of the sample, so ids that repeat go beyond
+    ``max_rows`` by their repetitions. With one class only, the score is its share
     smoothed by one row of each; without labels it is one half.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))

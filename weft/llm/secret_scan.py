@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,10 +104,12 @@ def scan_text(text: str | None) -> tuple[list, list]:
         return [], []
     base = base_spans(text)
     candidates = [(k, s, e, _digest(v), is_strong(v)) for k, s, e, v in base]
-    covered = [(s, e) for _, s, e, _ in base]
+    # Base spans come by start, so one overlaps when the furthest end of those that start before it does.
+    starts, furthest = [s for _, s, _, _ in base], list(accumulate((e for _, _, e, _ in base), max))
     for s, e, v in extra_spans(text):
         # A key counts even where a base pattern meets its header ("secret: -----BEGIN").
-        if text.startswith("-----BEGIN", s) or not any(a < e and s < b for a, b in covered):
+        before = bisect_left(starts, e)
+        if text.startswith("-----BEGIN", s) or not before or furthest[before - 1] <= s:
             candidates.append(("extra", s, e, _digest(v), True))
     return [x[:3] for x in base], candidates
 

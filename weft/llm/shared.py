@@ -4,65 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/weft"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share: spark.checkpoint.dir where it is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from weft.operators.graph import groups
+from weft.operators.tables import forget, shared_folder
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors. They belong to one run of an operator; the
-    folder is meant for transient files, and ``drop_stashes`` removes them.
+    The files outlive lost executors. They belong to one run of an operator and are
+    transient: what a result still reads stays in the folder until that is cleared,
+    the rest goes with ``drop_stash``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stash-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stashes(spark: SparkSession) -> None:
-    """Remove every table that ``stash`` has written in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+def drop_stash(df: DataFrame) -> None:
+    """Remove a table that ``stash`` has returned and that nothing reads any more."""
+    forget(df)
 
-def row_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; exact for tables that ``stash`` has written."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every id in ``edges`` (a long, b long): node long, component long.
-
-    Every node takes the smallest label around it and then the label of that label, until
-    nothing changes: the second step halves long chains, so a few rounds suffice. Minima
-    are pre-aggregated in the map tasks, and labels are joined from a written table, so
-    that Spark can split the partition of a node with very many neighbours. No task
-    gathers a component. Null ids and self-loops take no part; no edges give no rows.
-    """
-    kept = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = stash(kept.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct(), "edges")
-    label = stash(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
-    if label.isEmpty():
-        return label
-    for _ in range(max_rounds):
-        around = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        lower = label.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        further = lower.join(label.select(F.col("node").alias("low"), F.col("component").alias("lower")), "low")
-        after = stash(further.select("node", "old", F.least("low", "lower").alias("component")), "labels")
-        label = after.select("node", "component")
-        if after.where("old <> component").isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest reachable id of every id in ``edges`` (a long, b long): node long, component long. Null ids and self-loops take no part; no edges give no rows."""
+    return groups(edges.where("a <> b").select("a", "b")).withColumnRenamed("group", "component")
