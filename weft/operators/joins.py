@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import normal_route
 from weft.operators.numbering import numbered
+from weft.operators.tables import saved
 
 
 def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
@@ -20,27 +21,32 @@ def _grams(text: Column, length: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
-def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str, whole: str | None = None, gram: int = 6) -> DataFrame:
+def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str, whole: str | None = None, gram: int = 4) -> DataFrame:
     """item, first text that holds one of its spellings, number of such texts; 0 and null for an item without any.
 
     Case and runs of white space don't count. A spelling may have several words and may
     stand inside a word, unless the column ``whole`` is true for its item. Texts and
-    spellings meet by equality on one ``gram`` of characters: the spelling's is the one
-    that fewest texts have; spellings shorter than that meet by grams of their own
-    length. What meets is then verified on the whole text. Empty spellings and null texts don't count.
+    spellings meet through the words of the texts: a spelling of three parts or more holds
+    whole words, of which the one that fewest texts have stands for it; of another the longest part is
+    looked up among the distinct words of all texts, by a run of ``gram`` characters. What meets is
+    then verified on the whole text. Empty spellings and null texts don't count.
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     wanted = items.select(item_key, (F.col(whole) if whole else F.lit(False)).alias("whole"), F.explode(match).alias("m"))
-    wanted = wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct().withColumn("size", F.least(F.length("m"), F.lit(gram)))
-    of_spelling = wanted.select("m", "size").distinct().select("m", "size", F.explode(F.array_distinct(_grams(F.col("m"), gram))).alias("g"))
+    wanted = wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct()
     own = texts.select(text_key, fold(text).alias("t")).where("t <> ''")
-    found = own.select(text_key, F.explode(F.array_distinct(_grams(F.col("t"), gram))).alias("g")).join(of_spelling.where(F.col("size") == gram).select("g").distinct(), "g", "left_semi")
-    seen = found.groupBy("g").agg(F.count("*").alias("n"))
-    chosen = of_spelling.where(F.col("size") == gram).join(seen, "g", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).getField("g").alias("g"))
-    met = found.join(chosen, "g").select(text_key, "m")
-    for size in range(1, gram):  # short spellings; their grams are themselves
-        short = wanted.where(F.col("size") == size).select("m").distinct()
-        met = met.unionByName(own.select(text_key, F.explode(F.array_distinct(_grams(F.col("t"), size))).alias("m")).join(short, "m"))
+    words = own.select(text_key, F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    vocabulary = saved(words.groupBy("word").agg(F.count("*").alias("n")))
+    spellings = wanted.select("m").distinct().withColumn("parts", F.split("m", " "))
+    inner = spellings.where(F.size("parts") > 2).select("m", F.explode(F.slice("parts", F.lit(2), F.size("parts") - 2)).alias("word"))
+    chosen = inner.join(vocabulary, "word", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).getField("word").alias("word"))
+    longest = F.array_max(F.transform("parts", lambda x: F.struct(F.length(x).alias("size"), x.alias("part")))).getField("part")
+    short = spellings.where(F.size("parts") < 3).select("m", longest.alias("needle"))
+    for size in range(1, gram + 1):  # over the distinct words only
+        needles = short.where(F.length("needle") >= gram if size == gram else F.length("needle") == size).withColumn("g", F.left("needle", F.lit(size)))
+        held = vocabulary.select("word", F.explode(F.array_distinct(_grams(F.col("word"), size))).alias("g")).join(needles, "g").where(F.contains("word", "needle"))
+        chosen = chosen.unionByName(held.select("m", "word"))
+    met = chosen.join(words, "word").select(text_key, "m").distinct()
     edge = r"(?:^|$|[^\p{L}\p{N}])"
     holds = F.when(F.col("whole"), F.regexp_like("t", F.concat(F.lit(edge + r"\Q"), F.regexp_replace("m", r"\\E", ""), F.lit(r"\E" + edge)))).otherwise(F.contains("t", "m"))
     hits = met.join(own, text_key).join(wanted, "m").where(holds).select(item_key, text_key).distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
