@@ -26,7 +26,7 @@ def some_vectors(n, dim, seed):
     return base
 
 
-ODD = [(9001, None, 0), (9002, [0.0] * 8, 0), (9003, [1.0] * 7 + [float("nan")], 0), (9004, [float("inf")] * 8, 0), (9005, [1.0] * 7 + [None], 0), (9006, [], 0), (None, [1.0] * 8, 0)]
+ODD = [(9000, [1.0] * 5, 0), (9001, None, 0), (9002, [0.0] * 8, 0), (9003, [1.0] * 7 + [float("nan")], 0), (9004, [float("inf")] * 8, 0), (9005, [1.0] * 7 + [None], 0), (9006, [], 0), (None, [1.0] * 8, 0)]
 
 
 def test_nearest(spark):
@@ -48,6 +48,46 @@ def test_nearest(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def uniform_and_grouped(n, dim, seed):
+    """Half of the vectors without any near neighbour, half in groups of 50."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    centres = rng.normal(size=(n // 100, dim))
+    base[: n // 2] = centres[np.arange(n // 2) % len(centres)] + 0.3 * rng.normal(size=(n // 2, dim))
+    return base / np.linalg.norm(base, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_recall_of_nearest_in_64_dimensions(spark, seed):
+    base = uniform_and_grouped(6000, 64, seed)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in rp_forest.nearest(df, lambda i: i % 20 == 0, 20, leaf_rows=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = base @ base.T
+    np.fill_diagonal(scores, -9)
+    hits = [len(set(np.argsort(-scores[q], kind="stable")[:20].tolist()) & got[q]) for q in range(0, 6000, 20)]
+    assert set(map(len, got.values())) == {20} and np.mean(hits) / 20 >= 0.9
+
+
+def test_recall_of_embedding_duplicates_in_64_dimensions(spark):
+    """Pairs planted at a cosine of 0.9 to 0.95, with the settings of the registered query."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    base = rng.normal(size=(n, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for i in range(0, n // 2, 2):
+        cos, away = rng.uniform(0.901, 0.95), rng.normal(size=64)
+        away -= away @ base[i] * base[i]
+        base[i + 1] = cos * base[i] + math.sqrt(1 - cos * cos) * away / np.linalg.norm(away)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_duplicates(df, 0.9).collect()}
+    linked = base @ base.T >= 0.9
+    np.fill_diagonal(linked, False)
+    truth = linked.sum(axis=1)
+    assert all(got[i][0] <= truth[i] for i in range(n)) and sum(g[0] for g in got.values()) >= 0.95 * truth.sum()
+
+
 def test_nearest_of_few(spark):
     df = vectors_of(spark, [(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (3, [0.5, 0.0], 0)])
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rp_forest.nearest(df, lambda i: i % 20 == 0, 20).collect())
@@ -205,3 +245,36 @@ def test_components(spark):
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(label)}
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_links_of_a_large_group_without_a_common_original(spark, monkeypatch):
+    """Near copies that all differ from their lost original, truncated ones, and one passage in many short documents."""
+    monkeypatch.setattr(ngram_join, "PAIRS_A_MEMBER", 1)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for size in (60, 90):
+        original = [rng.choice(words) for _ in range(size)]
+        for i in range(120):
+            own = list(original)
+            for _ in range(rng.choice([1, 1, 2, 2, 3, 4])):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[rng.choice(words)], [], [own[at], rng.choice(words)]])
+            texts.append(" ".join(own[: rng.choice([size, size, size - 5])] + (["added", "line", "of", "words"] if i % 3 == 0 else [])))
+    passage = [rng.choice(words) for _ in range(30)]
+    texts += [" ".join(passage + [rng.choice(words) for _ in range(rng.randint(0, 12))]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_links(df).collect()}
+    assert [got[i] for i in range(len(texts))] == links_by_brute_force(texts, 3, 90)
+
+
+def test_bin_counts_bound_the_overlap(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    for n, m, shared_ in ((5, 9, 3), (400, 300, 280), (90_000, 80_000, 70_000)):
+        both = rng.integers(0, 1 << 63, n + m - shared_).astype(np.uint64)
+        a, b = both[:n], both[n - shared_ :]
+        found = next(iter(ngram_join.most_common.func(iter([(pd.Series([ngram_join.bin_counts(a)]), pd.Series([ngram_join.bin_counts(b)]))]))))
+        assert found["common"][0] >= shared_ and found["both"][0] == n + m

@@ -22,7 +22,7 @@ from weft.llm.shared import components, stash
 
 SAMPLE_ROWS = 20_000
 #: Rows of one block: a cell with more is compared block by block, so that no task holds a whole large cell.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 
 
 @dataclass
@@ -115,22 +115,22 @@ class Forest:
     def search(self, vectors: np.ndarray, sizes: dict[int, int], budget: float) -> list[list[int]]:
         """Cells to visit for each row, best first, until they hold ``budget`` rows.
 
-        One queue holds the nodes of all trees; its priority is the largest distance to
-        a threshold that was passed on the wrong side.
+        One queue holds the nodes of all trees; its priority is the sum of the squared
+        distances to the thresholds that were passed on the wrong side.
         """
         sides = [vectors @ t.directions.T - t.thresholds for t in self.trees]
         starts, found = self.starts, []
         left, right, leaf = ([getattr(t, x).tolist() for t in self.trees] for x in ("left", "right", "leaf"))
         for i in range(len(vectors)):
             own = [s[i].tolist() for s in sides]
-            queue = [(-math.inf, t, 0) for t in range(len(self.trees))]
+            queue = [(0.0, t, 0) for t in range(len(self.trees))]
             cells, rows = [], 0
             while queue and rows < budget:
                 far, t, k = heapq.heappop(queue)
                 while left[t][k] >= 0:
                     side = own[t][k]
                     near, other = (right[t][k], left[t][k]) if side > 0 else (left[t][k], right[t][k])
-                    heapq.heappush(queue, (max(far, abs(side)), t, other))
+                    heapq.heappush(queue, (far + side * side, t, other))
                     k = near
                 cell = starts[t] + leaf[t][k]
                 if size := sizes.get(cell, 0):
@@ -158,13 +158,19 @@ def usable(vector: str) -> Column:
     )
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, copies): every usable row as id, h1, h2, vector, and one row for each different vector: rep (its smallest id), n, h1, h2, vector.
+def taking_part(vectors: DataFrame, vector_col: str) -> Column:
+    """``usable``, and of the length that most usable vectors have (the larger one where two are as common)."""
+    most = vectors.where(usable(vector_col)).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return usable(vector_col) & (F.size(vector_col) == (most.d if most else 0))
+
+
+def distinct_vectors(vectors: DataFrame, taken: Column, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, copies): every row ``taken`` as id, h1, h2, vector, and one row for each different vector: rep (its smallest id), n, h1, h2, vector.
 
     Copies are counted before the shuffle, so a vector that a third of the rows share
     is no hot group. Null ids take no part.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    rows = vectors.where(F.col(id_col).isNotNull() & taken).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector"))
     counted = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     keys = stash(counted, "keys")
@@ -178,35 +184,70 @@ def sample_of(copies: DataFrame, sample_rows: int) -> tuple[np.ndarray, int]:
     return matrix(found["vector"]), copies.count()
 
 
+def calibrated_budget(copies: DataFrame, forest: Forest, index: DataFrame, sizes: dict[int, int], asked: np.ndarray, k: int, recall: float) -> float:
+    """Rows that a query has to visit so that ``asked``, a few vectors, find on average ``recall`` of their true ``k`` nearest.
+
+    Their true neighbours come from a comparison with all rows; each task returns its
+    best ``k + 1``. What is known of the cells of those neighbours gives the place in the
+    search at which each is met.
+    """
+    shared = copies.sparkSession.sparkContext.broadcast(asked)
+    top = k + 1
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.DataFrame({"asked": [], "rep": [], "score": []})
+        for pdf in batches:
+            if len(pdf):
+                scores = shared.value @ matrix(pdf["vector"]).T
+                own = pd.DataFrame({"asked": np.repeat(np.arange(len(scores)), len(pdf)), "rep": np.tile(pdf["rep"].to_numpy(), len(scores)), "score": scores.ravel()})
+                found = pd.concat([found, own]).sort_values(["asked", "score", "rep"], ascending=[True, False, True]).groupby("asked").head(top)
+        yield found.astype({"asked": "int32", "rep": "int64", "score": "float64"})
+
+    some = copies.select("rep", "vector").mapInPandas(best, "asked int, rep long, score double")
+    truth = some.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "rep"))).where(F.col("rank") <= top).drop("rank")
+    cells = index.select("rep", "cell").join(stash(truth, "truth"), "rep").groupBy("asked", "rep").agg(F.collect_list("cell").alias("cells")).collect()
+    orders = forest.search(asked, sizes, math.inf)
+    met = []
+    passed = [dict(zip(o, np.cumsum([sizes[c] for c in o]).tolist())) for o in orders]
+    for r in cells:
+        met.append(min(passed[r.asked][c] for c in r.cells))
+    return float(np.quantile(met, recall, method="higher"))
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Callable[[Column], Column],
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    trees: int = 5,
-    search_share: float = 1.2,
+    trees: int = 12,
+    leaf_rows: int = 256,
+    recall: float = 0.92,
     sample_rows: int = SAMPLE_ROWS,
+    calibration_rows: int = 128,
 ) -> DataFrame:
     """The ``k`` largest inner products found for each query: query_id long, rank int, vec_id long, score double.
 
     ``is_query`` tells from the id which rows are queries; every usable row but the query's own is a
     candidate. The forest is fitted on ``sample_rows`` different vectors, and all rows
-    are indexed. A query visits cells until they hold ``search_share`` times as many
-    rows as there are, counted once for each tree that has them. Ties go to the smaller id.
+    are indexed. A query visits cells until they hold the rows that ``calibration_rows``
+    vectors needed to find ``recall`` of their true neighbours (``calibrated_budget``), and
+    k + 1 rows of one tree at least. Vectors with near neighbours need few; vectors
+    without any, as uniform ones of many dimensions, need a share of all rows. Ties go to the smaller id.
 
     Copies of a vector are searched once: of each vector, only its k + 1 smallest ids
     can be among anyone's k nearest. Null, empty, zero and non-finite vectors, and null
-    ids, take no part. Repeated ids are separate candidates; a query leaves out rows of
-    its own id. No usable rows give no rows. Other columns aren't read.
+    ids, take no part, nor do vectors of another length than most of the sample have. Repeated ids
+    are separate candidates; a query leaves out rows of its own id, and a repeated query id
+    has its own k rows for each different vector. No usable rows give no rows. Other columns aren't read.
     """
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, copies = distinct_vectors(vectors, id_col, vector_col)
+    rows, copies = distinct_vectors(vectors, taking_part(vectors, vector_col), id_col, vector_col)
     sample, total = sample_of(copies, sample_rows)
     if not total:
         return empty
-    leaf_rows = min(256, max(16, total / 100))
-    forest = fit_forest(sample, trees, leaf_rows * len(sample) / total)
+    leaf = min(leaf_rows, max(16.0, total / 100))
+    forest = fit_forest(sample, trees, leaf * len(sample) / total)
     context = vectors.sparkSession.sparkContext
     shared = context.broadcast(forest)
 
@@ -218,21 +259,22 @@ def nearest(
     index = stash(copies.select("rep", "vector", F.explode(cells_of("vector")).alias("cell")), "index")
     sizes = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}  # as many as the forest has cells
     all_sizes = context.broadcast(sizes)
+    budget = max(calibrated_budget(copies, forest, index, sizes, sample[:calibration_rows], k, recall), trees * (k + 1) + 1)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def visits_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            yield pd.Series(shared.value.search(matrix(column), all_sizes.value, search_share * total) if len(column) else [], dtype=object)
+            yield pd.Series(shared.value.search(matrix(column), all_sizes.value, budget) if len(column) else [], dtype=object)
 
     queries = stash(rows.where(is_query(F.col("id"))).join(copies.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("query_id"), "rep"), "queries")
     asked = copies.join(queries.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), F.col("vector").alias("asked"))
     visits = stash(asked.select("query", "asked", F.posexplode(visits_of("asked")).alias("turn", "cell")), "visits")
 
-    # Blocks keep both sides of a group small at any size: a cell's rows are dealt to blocks, its queries to turns of their own.
-    blocks = -(-max(sizes.values()) // BLOCK_ROWS)
-    rounds = -(-queries.count() // BLOCK_ROWS) or 1
-    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    left = index.select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "rep", "vector")
+    # Blocks keep both sides of a group small at any size: a cell's rows are dealt to blocks of its own number, its queries to rounds.
+    asking = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rounds"))
+    plan = stash(index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).join(asking, "cell"), "plan")
+    dealt = index.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    left = dealt.select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), "rep", "vector")
     top = k + 1
 
     def rank(key: tuple, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -250,10 +292,10 @@ def nearest(
         return pd.DataFrame({"query": asking["query"].to_numpy()[q], "rep": reps[v], "score": scores[q, v]})
 
     def visit(chosen: DataFrame) -> DataFrame:
-        right = chosen.select(
+        right = chosen.join(plan, "cell").select(
             "cell",
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-            F.pmod(F.xxhash64("query"), F.lit(rounds)).cast("int").alias("round"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64("query"), "rounds").cast("int").alias("round"),
             "query",
             "asked",
             "least",
@@ -298,11 +340,13 @@ def near_duplicates(
     deviations of the projected difference of a pair at the threshold.
 
     Copies of a vector are compared once and counted as often as they occur. Unusable
-    vectors link with nothing and are their own component. Rows with a null id are
+    vectors, and those of another length than most have, link with nothing and are
+    their own component. Rows with a null id are
     returned with null ids, no links and kept. Repeated ids count as separate vectors.
     """
     all_ids = vectors.select(F.col(id_col).cast("long").alias("id"))
-    rows, copies = distinct_vectors(vectors, id_col, vector_col)
+    taken = taking_part(vectors, vector_col)
+    rows, copies = distinct_vectors(vectors, taken, id_col, vector_col)
     sample, total = sample_of(copies, sample_rows)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True) if total else sample
     width = spill * math.sqrt(max(0.0, 2 - 2 * threshold)) / math.sqrt(max(1, sample.shape[1]))
@@ -317,12 +361,8 @@ def near_duplicates(
 
     placed = stash(copies.select("rep", "n", "vector", cells_of("vector").alias("cells")), "placed")
     index = placed.select("rep", "n", "vector", "cells", F.explode("cells").alias("cell"))
-    sizes = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}  # as many as the forest has cells
-    large = {c: -(-s // BLOCK_ROWS) for c, s in sizes.items() if s > BLOCK_ROWS}
-    blocks = F.lit(1)
-    for cell, n in large.items():
-        blocks = F.when(F.col("cell") == cell, F.lit(n)).otherwise(blocks)
-    dealt = index.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = index.join(stash(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "vector", "cells"
     )
@@ -360,6 +400,6 @@ def near_duplicates(
     each = copies.select("rep", "n", "h1", "h2").join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     each = stash(each.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "each")
     with_vector = rows.select("id", "h1", "h2").join(each, ["h1", "h2"]).select("id", "n_links", "component_id")
-    without = vectors.where(F.col(id_col).isNull() | ~usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
+    without = vectors.where(F.col(id_col).isNull() | ~taken).select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
     out = with_vector.unionByName(without)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).alias("kept"))
