@@ -19,7 +19,11 @@ ORACLE_SQL = None
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the rule ensemble, fitted on the labels, scores below one half."""
+    """Drops the documents that the rule ensemble, fitted on the labels, scores below one half.
+
+    Null and empty texts are scored as such and may go. Repeated rows share their score. Labels of ids that
+    aren't there any more have no part; without labels everything stays. All columns stay.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.keep_quality(docs, model)
 
@@ -27,12 +31,17 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets at a similarity of 0.8: the one of smallest id.
 
-    Rows with a null id stay. Of rows that repeat an id, one stays.
+    Rows with a null id stay. Rows that repeat an id are one document: they go together
+    where one of them links to a smaller id. Of those that repeat id and text too, the
+    one whose other columns are smallest stays. Null and empty texts link with nothing.
     """
     links = ngram_join.jaccard_links(docs, size=5, percent=80)
-    gone = links.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    gone = stash(links.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = stash(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = docs.join(gone.union(repeated), "doc_id", "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("o"))
+    return once.unionByName(again.select("doc_id", "text", *[F.col(f"o.{c}").alias(c) for c in others]).select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +50,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, and those of small sources up to twice, for a flatter mix."""
+    """Every document at least once, and those of small sources up to twice, for a flatter mix.
+
+    A null source is a source of its own. Rows that repeat an id and a text share their number of copies, which is
+    rounded up for each, so repeated rows are a little more than their weight.
+    """
     mixed = mixing.mix_sources(docs, target_entropy=None, max_epochs=2.0, cover=True)
     return mixing.repeat_documents(docs, mixed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the number of characters that they decode to."""
+    """Ids of every text, and the number of characters that they decode to. A null text is empty; every row has its result."""
     coded = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep_cols=("doc_id", "lang", "source"), decode=True)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("n_decoded"))
 
