@@ -136,3 +136,15 @@ def test_secret_stage_redacts_live_extras_and_keeps_copied_ones(spark):
     got = out.collect()
     assert sorted(((r.doc_id, r.text, r.lang, r.source) for r in got), key=repr) == sorted(want, key=repr)
     assert all(r.n_chars == len(r.text) for r in got if r.text is not None) and [r.n_chars for r in got if r.doc_id == 6] == [7]
+
+
+def test_near_copy_stage_settles_repeated_ids(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    data = [(1, text("a"), "en", "s", 1), (2, text("a") + " more", "en", "s", 2), (3, text("b"), "en", "s", 3), (3, text("c"), "fr", "s", 4), (3, text("b"), "en", "r", 5)]
+    data += [(4, text("d"), "en", "s", 6), (5, text("d"), "en", "s", 7), (5, text("e"), "en", "s", 8), (None, text("a"), "en", "s", 9), (6, None, None, None, None), (6, None, None, None, None), (7, "", "en", "s", 0), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(data, DOCS)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:2], r.source) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "wa", "s"), (3, "wb", "r"), (3, "wc", "s"), (4, "wd", "s"), (None, "wa", "s"), (6, "", None), (7, "", "s"), (8, "", "s")], key=repr)
+    assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), "").isEmpty()
