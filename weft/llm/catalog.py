@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_text, lang_id, mixing, ngram_join, quality, rp_forest, secret_scan, substring_dedup
+from weft.llm import bpe, conversation_repair, fill_middle, html_text, lang_id, mixing, ngram_join, personal_data, quality, rp_forest, secret_scan, substring_dedup
+from weft.llm.catalog_sql import CONVERSATIONS_SQL, FILL_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +92,47 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, with digests of the base spans."""
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(_span_text("base"), 256).alias("base_sha256"), _span_text("all").alias("spans"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after a damage that each row's crc32 decides.
+
+    Conversations without a row after it have zeros, an empty audit and the hash of an empty text.
+    """
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = conversation_repair.repair(conversation_repair.damage(rows), "conv", "turn", "role", "text")
+    hashes = conversation_repair.digests(repaired)
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    met = every.join(report, F.col("conv_id").eqNullSafe(report["conv"]), "left").drop("conv")
+    met = met.join(hashes, F.col("conv_id").eqNullSafe(hashes["conv"]), "left").drop("conv")
+    return met.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut in three and put in the order of its form, with digests of the outcome and of the text rebuilt from it."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_substrings": op2_substrings,
@@ -102,5 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_languages": op8_languages,
     "op9_quality": op9_quality,
     "op10_article_text": op10_article_text,
+    "op11_personal_data": op11_personal_data,
+    "op12_conversations": op12_conversations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_conversations": CONVERSATIONS_SQL, "op13_fill_in_middle": FILL_SQL}
