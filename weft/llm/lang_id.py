@@ -63,25 +63,43 @@ class LanguageModel:
     weights: np.ndarray
     prior: np.ndarray
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """Log-joint of each language, summed slice by slice over the whole text."""
-        total = self.prior.astype(float)
-        step = SLICE
-        for lo in range(0, len(codes), step):
-            own = codes[lo : lo + step + max(ORDERS) - 1]
-            for n, h in zip(ORDERS, ngram_buckets(own)):
-                counts = np.bincount(h[:step], minlength=BUCKETS) if len(h) > BUCKETS // 4 else None
-                total += counts @ self.weights if counts is not None else self.weights[h[:step]].sum(axis=0, dtype=float)
+    def joint(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Log-joint of each language for each text, given as code points.
+
+        The n-grams of about SLICE code points at a time, of many short texts or a part of a long one, are the
+        entries of one sparse matrix with a row for each piece, which is multiplied with the weights.
+        """
+        total = np.tile(self.prior.astype(float), (len(texts), 1))
+        weights = np.vstack([self.weights, np.zeros((1, len(self.langs)))])  # the last row is for what crosses two pieces
+        pieces = [(i, codes[lo : lo + SLICE + max(ORDERS) - 1]) for i, codes in enumerate(texts) for lo in range(0, len(codes), SLICE)]
+        share = np.cumsum([len(c) for _, c in pieces]) // SLICE
+        for group in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(share)) + 1) if pieces else ():
+            rows, parts = [pieces[k][0] for k in group], [pieces[k][1] for k in group]
+            sizes = np.array([len(c) for c in parts])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+            for n, h in zip(ORDERS, ngram_buckets(np.concatenate(parts))):
+                columns = np.full(len(place), BUCKETS, np.int64)
+                own = place < np.repeat(np.minimum(SLICE, sizes - n + 1), sizes)
+                columns[own] = h[own[: len(h)]]
+                np.add.at(total, rows, np.add.reduceat(weights[columns], starts, axis=0))
         return total
 
-    def predict(self, text: str | None, folded: Folded) -> tuple[str, float]:
-        """(language, posterior); ``und`` and 0 for a null text, one without letters, or a model without languages."""
-        codes = folded.codes(text) if text and self.langs else np.zeros(0, np.uint32)
-        if not len(codes) or not (codes != 32).any():
-            return UNKNOWN, 0.0
-        joint = self.score(codes)
-        best = int(joint.argmax())
-        return self.langs[best], float(1 / np.exp(joint - joint[best]).sum())
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        """Log-joint of each language for one text."""
+        return self.joint([codes])[0]
+
+    def predict(self, texts: list[str | None], folded: Folded) -> pd.DataFrame:
+        """lang_pred, score (the posterior); ``und`` and 0 for a null text, one without letters, or a model without languages."""
+        codes = [folded.codes(t) if t and self.langs else np.zeros(0, np.uint32) for t in texts]
+        known = np.array([bool((c != 32).any()) for c in codes], dtype=bool)
+        found = pd.DataFrame({"lang_pred": [UNKNOWN] * len(codes), "score": [0.0] * len(codes)})
+        if known.any():
+            joint = self.joint([c for c, k in zip(codes, known) if k])
+            best = joint.argmax(axis=1)
+            found.loc[known, "lang_pred"] = [self.langs[i] for i in best]
+            found.loc[known, "score"] = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
+        return found
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,6 +155,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, folded = LanguageModel(*shared.value), Folded()
         for texts in batches:
-            yield pd.DataFrame([own.predict(t, folded) for t in texts], columns=["lang_pred", "score"])
+            yield own.predict(list(texts), folded)
 
     return docs.select(F.col(id_col), run(F.col(text_col)).alias("found")).select(id_col, "found.*")
