@@ -3,8 +3,8 @@
 The token shares of the sources are raised to an exponent and normalised. The
 exponent is found by repeated section of its bracket, so that the mix reaches a
 target entropy and no source is repeated beyond a limit. The weights are realised as
-block permutations: the documents of a source are dealt to blocks of a few tokens, a
-pass over the source is a permutation of its blocks, and passes end where the
+block permutations: the documents of a source are dealt to blocks of a few tokens, each
+pass over the source is a permutation of its blocks of its own, and passes end where the
 source's share of the budget does.
 """
 
@@ -129,16 +129,18 @@ def mix_sources(
     order = lambda *x: F.xxhash64(F.lit(seed), *x)
     dealt = rows.where("n_tokens > 0").join(quota, "s").withColumn("block", F.pmod(order("id", "salt"), F.col("blocks")).cast("int"))
     dealt = stash(dealt.select("id", "source", "s", "salt", "n_tokens", "block", "weight", "passes", "rest", "quota", "tokens"), "dealt")
-    # Blocks of a source in the order of its last pass, with the tokens before each.
-    blocks = dealt.groupBy("s", "block").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("s").orderBy(order("s", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = stash(blocks.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).select("s", "block", "start"), "blocks")
+    # Every pass has an order of a source's blocks of its own; starts holds the tokens before a block in each pass.
+    blocks = dealt.groupBy("s", "block").agg(F.sum("n_tokens").alias("held"), F.first("passes").alias("passes"))
+    turns = blocks.select("s", "block", "held", F.explode(F.sequence(F.lit(0), "passes")).alias("turn"))
+    before = Window.partitionBy("s", "turn").orderBy(order("s", "block", "turn"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    blocks = stash(turns.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "start"))).getField("start").alias("starts")), "blocks")
     placed = dealt.join(blocks, ["s", "block"])
     inside = Window.partitionBy("s", "block").orderBy(order("id", "salt", "block"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    # How far into a pass over its source a document ends, blocks before it included.
-    placed = placed.withColumn("end", F.col("start") + F.sum("n_tokens").over(inside))
-    copies = F.col("passes") + F.when(F.col("end") <= F.col("rest") + 1e-6, 1).otherwise(0)
-    at = lambda i: F.least(F.lit(mix_blocks - 1), F.floor((i * F.col("tokens") + F.col("end") - F.col("n_tokens")) / F.col("quota") * mix_blocks).cast("int"))
+    # How far into its block a document ends; the last pass takes it where it also ends within what is left of the share.
+    placed = placed.withColumn("end", F.sum("n_tokens").over(inside))
+    copies = F.col("passes") + F.when(F.element_at("starts", -1) + F.col("end") <= F.col("rest") + 1e-6, 1).otherwise(0)
+    at = lambda i: F.least(F.lit(mix_blocks - 1), F.floor((i * F.col("tokens") + F.get("starts", i) + F.col("end") - F.col("n_tokens")) / F.col("quota") * mix_blocks).cast("int"))
     mixed = placed.withColumn("copies", copies.cast("int")).withColumn(
         "mix_blocks", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<int>"))
     )
@@ -153,7 +155,9 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
 
     Rows that share id and text share their copies: each is taken as often as all of them together divided by their number, rounded up.
     """
-    key = lambda df, *c: df.withColumn("_weft_id", F.xxhash64(F.col(id_col).cast("string"))).withColumn("_weft_text", *c)
-    counts = key(mixed, F.col("text_hash")).groupBy("_weft_id", "_weft_text").agg(F.ceil(F.avg("copies")).cast("int").alias("_weft_copies"))
-    joined = key(docs, F.xxhash64(text_col)).join(counts, ["_weft_id", "_weft_text"]).where("_weft_copies > 0")
-    return joined.withColumn("_weft_n", F.explode(F.sequence(F.lit(1), F.col("_weft_copies")))).select(*docs.columns)
+    hashed = lambda c: F.xxhash64(F.col(c).cast("string"))
+    counts = mixed.groupBy(hashed(id_col).alias("id_hash"), "text_hash").agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
+    # The columns of docs are kept as one, so that none of them clashes with the names used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hashed(id_col).alias("id_hash"), F.xxhash64(text_col).alias("text_hash"))
+    taken = rows.join(counts, ["id_hash", "text_hash"]).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("n"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -182,5 +182,5 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
 def keep_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score is ``least`` or more."""
-    scored = docs.withColumn("_weft_stats", text_statistics(F.col(text_col)))
-    return scored.where(model.score("_weft_stats") >= least).drop("_weft_stats")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_statistics(F.col(text_col)).alias("s"))
+    return rows.where(model.score("s") >= least).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
