@@ -288,3 +288,17 @@ def test_registered_bpe_query_on_both_sides_of_its_bounds(spark, tmp_path):
     for i, text in enumerate(texts):
         ids = own.encode(text or "", add_special_tokens=False).ids
         assert got[i] == (len(ids), digest(" ".join(map(str, ids))), digest(own.decode(ids, skip_special_tokens=False))), i
+
+
+def test_names_lower_a_prior_and_articles_keep_links_and_formulas():
+    extract = lambda inner: html_text.extract_text(f"<article><h1>Title</h1><p>{LONG}</p>{inner}<p>{LONG}</p></article>", STOP)
+    kept = ["<section class='related-work'>{}</section>", "<div class='alert-box'>{}</div>", "<p class='ad-hoc'>{}</p>", "<div class='social-history'>{}</div>"]
+    for frame in kept:
+        assert extract(frame.format(f"<p>{LONG}</p>")).count(LONG.strip()) == 3, frame
+    gone = ["<div id='user-responses'>{}</div>", "<ol class='commentlist'><li>{}</ol>", "<div class='privacy-popup'>{}</div>", "<div class='ad-slot'>{}</div>", "<div class='share-buttons-top'>{}</div>"]
+    for frame in gone:
+        assert extract(frame.format(f"<p>{LONG}</p>")).count(LONG.strip()) == 2, frame
+    assert "Read more" not in extract("<div class='related-posts'><a href='#'>Read more of this</a></div>")
+    assert "x = 2" in extract("<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds.</p>")
+    assert "The source" in extract("<ul><li><a href='#'>The source</a></li></ul><p><a href='#'>A paragraph that is one link</a></p>")
+    assert "one link" in extract("<p><a href='#'>A paragraph that is one link</a></p>")

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,24 +25,31 @@ NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 UNQUOTED = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 #: Elements whose text is never shown, those outside an article, and those that end a block.
-UNSEEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button".split())
+UNSEEN = frozenset("script style noscript template head title iframe object svg canvas audio video select textarea button".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words that mark a container outside the article where they are a whole class, id or role, or the first part of one.
+#: Words that mark a container outside the article where they are a whole class, id or role.
 BOILER = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar sidenav footer masthead "
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar sidenav footer masthead commentlist "
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe subscription share sharing social related recommended comment comments disqus reply replies "
     "respond popup modal overlay search login signup pagination pager widget widgets toolbar contentinfo complementary dialog alert tags".split()
 )
+#: Parts that may follow such a word: an ad-slot or a share-buttons-top is boilerplate, an ad-hoc or a social-history is not.
+LAYOUT = frozenset(
+    "area articles bar block body box button buttons container content count feed footer form header heading icons inner item items left link links list module news outer panel "
+    "posts right row section slot stories text thread title top bottom unit widget widgets wrap wrapper".split()
+)
+#: Of those words, the ones that articles have boxes of too: full paragraphs inside an article stay.
+DOUBTFUL = frozenset("alert complementary dialog notice notices overlay promo recommended related search tags".split())
 #: Parts before the last one that make it count as the page's own: a site-header, but not an entry-header.
-PAGE_PARTS = frozenset("site page global top bottom main left right primary secondary reader user cookie social post article blog".split())
-LAST_PARTS = frozenset("nav navigation menu sidebar footer comments banner notice ads share".split())
+PAGE_PARTS = frozenset("site page global top bottom main left right primary secondary reader user cookie privacy social post article blog".split())
+LAST_PARTS = frozenset("nav navigation menu sidebar footer comments responses banner notice popup modal ads share".split())
 PAGE_HEADERS = frozenset("header site-header page-header global-header top-header main-header".split())
-READERS = frozenset("comment comments disqus reply replies respond".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset("html body article main".split())
 MARKUP = re.compile(r"<[^<>]*>")
@@ -58,6 +66,7 @@ class Block:
     inside: bool
     outside: bool
     heading: bool
+    doubtful: bool = False
 
 
 @dataclass(frozen=True)
@@ -113,7 +122,7 @@ def boiler_words(tag: str) -> set[str]:
             parts = re.split("[-_]+", token)
             if token in PAGE_HEADERS:
                 found.add(token)
-            elif parts[0] in BOILER:
+            elif parts[0] in BOILER and all(x in LAYOUT or x in BOILER or x.isdigit() for x in parts[1:]):
                 found.add(parts[0])
             elif parts[-1] in LAST_PARTS and all(x in PAGE_PARTS for x in parts[:-1]):
                 found.add(parts[-1])
@@ -181,7 +190,7 @@ def blocks_of(html: str | None, rules: Rules = Rules()) -> list[Block]:
             number = -1
             if words or name == "form":
                 number = len(named)
-                named.append([len(found), None, homes, None, bool(words & READERS)])
+                named.append([len(found), None, homes, None, bool(words & READERS), bool(words) and words <= DOUBTFUL and open_of["article"] + open_of["main"] > 0])
             homes += name in ("article", "main", "h1")
             headings += name in HEADINGS
             stack.append((name, name in UNSEEN, off, number))
@@ -199,17 +208,16 @@ def blocks_of(html: str | None, rules: Rules = Rules()) -> list[Block]:
     sizes = [0]
     for b in found:
         sizes.append(sizes[-1] + len(b.text))
-    marks = [0] * (len(found) + 1)
-    for first, last, before, after, readers in named:
+    marks, doubts = [0] * (len(found) + 1), [0] * (len(found) + 1)
+    for first, last, before, after, readers, doubtful in named:
         last, after = len(found) if last is None else last, homes if after is None else after
         # A name alone doesn't make boilerplate of what holds the article, its heading or nearly all text.
         if after == before and (readers or sizes[last] - sizes[first] <= rules.most * sizes[-1]):
-            marks[first] += 1
-            marks[last] -= 1
-    depth = 0
-    for b, m in zip(found, marks):
-        depth += m
-        b.outside = b.outside or depth > 0
+            kind = doubts if doubtful else marks
+            kind[first] += 1
+            kind[last] -= 1
+    for b, off, doubt in zip(found, accumulate(marks), accumulate(doubts)):
+        b.outside, b.doubtful = b.outside or off > 0, doubt > 0
     return found
 
 
@@ -219,11 +227,14 @@ def classify(block: Block, stop_words: frozenset[str], rules: Rules) -> str:
         return "bad"
     n = len(block.text)
     if block.linked > rules.link_density * n:
-        return "near" if block.heading else "bad"
+        # Short links of an article are its own, a long one that is all link is a teaser.
+        return "near" if block.heading or block.inside and not block.doubtful and n < rules.long else "bad"
     words = WORD.findall(block.text.lower())
     density = sum(w in stop_words for w in words) / max(1, len(words))
     if n >= rules.long and density >= rules.stop_high:
         return "good"
+    if block.doubtful:
+        return "bad"
     if n >= rules.long and density < rules.stop_low and not block.inside and not block.heading:
         return "bad"
     if n >= rules.short and density >= rules.stop_low or block.heading:
