@@ -177,11 +177,13 @@ def blocked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT s_suppkey AS k, s_nationkey % 4 AS a, s_suppkey % 7 AS b FROM supplier)
-    SELECT k, a = 1 AND b >= 2 AS caret, a = 0 AND b = 3 AS zero, a = 2 AND b = 1 AS tilde, (a = 1 AND b > 3) OR a = 3 AS either, b >= 1 AND a <= 2 AND NOT (a = 0) AND NOT (a = 2 AND b > 1) AS span, '1.2.1' AS low FROM r""")
+    SELECT k, a = 1 AND b >= 2 AS caret, a = 0 AND b = 3 AS zero, a = 2 AND b = 1 AS tilde, (a = 1 AND b > 3) OR a = 3 AS either, (a = 1 AND b >= 1) OR (a = 2 AND b <= 1) AS span, a = 1 AND b = 2 AS pre, CASE WHEN k % 2 = 0 THEN '1.0.0-rc.' || k ELSE '1.2.' || (k + 1) END AS low FROM r""")
 def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat(F.col("s_nationkey") % 4, F.lit("."), F.col("s_suppkey") % 7, F.lit(".1"))
     test = lambda r: ranges.satisfies(version, F.lit(r))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), test("^1.2.0").alias("caret"), test("^0.3.1").alias("zero"), test("~2.1").alias("tilde"), test(">=1.4 <2 || 3.x").alias("either"), test("1.1.0 - 2.1").alias("span"), ranges.min_version(F.lit("^1.2.1 || 2")).alias("low"))
+    key = F.col("s_suppkey").cast("string")
+    own = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(">=1.0.0-rc."), key)).otherwise(F.concat(F.lit(">1.2."), key, F.lit(" || 2")))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), test("^1.2.0").alias("caret"), test("^0.3.1").alias("zero"), test("~2.1").alias("tilde"), test(">=1.4 <2 || 3.x").alias("either"), test("1.1.0 - 2.1").alias("span"), test(">1.2.1-beta <1.2.2").alias("pre"), ranges.min_version(own).alias("low"))
 
 
 SNAPSHOT = """b AS (SELECT k, arg_min(auth, pos) AS auth, arg_min(version, pos) AS version FROM before GROUP BY k), a AS (SELECT k, arg_min(auth, pos) AS auth, arg_min(version, pos) AS version FROM after GROUP BY k)"""
