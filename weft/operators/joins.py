@@ -10,6 +10,10 @@ from weft.operators.numbering import numbered
 from weft.operators.tables import saved
 
 
+#: Copies of a text that verify spellings side by side.
+SHARES = 8
+
+
 def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
     """file, commits, score: commits times complexity, or lines by 50 where that is unknown."""
     weight = F.coalesce(F.nullif("complexity", F.lit(0)), F.nullif(F.ceil(F.col("lines") / 50), F.lit(0)), F.lit(1))
@@ -27,29 +31,38 @@ def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_
     Case and runs of white space don't count. A spelling may have several words and may
     stand inside a word, unless the column ``whole`` is true for its item. Texts and
     spellings meet through the words of the texts: a spelling of three parts or more holds
-    whole words, of which the one that fewest texts have stands for it; of another the longest part is
-    looked up among the distinct words of all texts, by a run of ``gram`` characters. What meets is
-    then verified on the whole text. Empty spellings and null texts don't count.
+    whole words, of which the one that fewest texts have stands for it; another is
+    looked up among the distinct words of all texts, by a run of ``gram`` characters, and met through its rarer part. What meets is
+    then verified on the whole text, all spellings of a text together. Empty spellings and null texts don't count.
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     wanted = items.select(item_key, (F.col(whole) if whole else F.lit(False)).alias("whole"), F.explode(match).alias("m"))
     wanted = wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct()
     own = texts.select(text_key, fold(text).alias("t")).where("t <> ''")
-    words = own.select(text_key, F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    words = saved(own.select(text_key, F.explode(F.array_distinct(F.split("t", " "))).alias("word")))
     vocabulary = saved(words.groupBy("word").agg(F.count("*").alias("n")))
     spellings = wanted.select("m").distinct().withColumn("parts", F.split("m", " "))
     inner = spellings.where(F.size("parts") > 2).select("m", F.explode(F.slice("parts", F.lit(2), F.size("parts") - 2)).alias("word"))
     chosen = inner.join(vocabulary, "word", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).getField("word").alias("word"))
-    longest = F.array_max(F.transform("parts", lambda x: F.struct(F.length(x).alias("size"), x.alias("part")))).getField("part")
-    short = spellings.where(F.size("parts") < 3).select("m", longest.alias("needle"))
+    # Of two parts, the first ends a word and the last begins one; the part whose words fewer texts have stands for the spelling.
+    short = spellings.where(F.size("parts") < 3).select("m", F.posexplode("parts").alias("at", "needle"), (F.size("parts") == 1).alias("alone"))
+    fits = F.when(F.col("alone"), F.contains("word", "needle")).when(F.col("at") == 0, F.endswith("word", "needle")).otherwise(F.startswith("word", "needle"))
+    held = None
     for size in range(1, gram + 1):  # over the distinct words only
         needles = short.where(F.length("needle") >= gram if size == gram else F.length("needle") == size).withColumn("g", F.left("needle", F.lit(size)))
-        held = vocabulary.select("word", F.explode(F.array_distinct(_grams(F.col("word"), size))).alias("g")).join(needles, "g").where(F.contains("word", "needle"))
-        chosen = chosen.unionByName(held.select("m", "word"))
-    met = chosen.join(words, "word").select(text_key, "m").distinct()
+        found = vocabulary.select("word", "n", F.explode(F.array_distinct(_grams(F.col("word"), size))).alias("g")).join(needles, "g").where(fits).select("m", "at", "word", "n")
+        held = found if held is None else held.unionByName(found)
+    held = saved(held)
+    sums = short.select("m", "at").join(held.groupBy("m", "at").agg(F.sum("n").alias("n")), ["m", "at"], "left").groupBy("m").agg(F.min_by("at", F.struct(F.coalesce("n", F.lit(0)), "at")).alias("at"))
+    chosen = chosen.unionByName(held.join(sums, ["m", "at"]).select("m", "word"))
     edge = r"(?:^|$|[^\p{L}\p{N}])"
-    holds = F.when(F.col("whole"), F.regexp_like("t", F.concat(F.lit(edge + r"\Q"), F.regexp_replace("m", r"\\E", ""), F.lit(r"\E" + edge)))).otherwise(F.contains("t", "m"))
-    hits = met.join(own, text_key).join(wanted, "m").where(holds).select(item_key, text_key).distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
+    quoted = lambda m: F.concat(F.lit(edge + r"\Q"), F.regexp_replace(m, r"\\E", ""), F.lit(r"\E" + edge))
+    holds = lambda a: F.when(a["whole"], F.regexp_like(F.col("t"), quoted(a["m"]))).otherwise(F.contains(F.col("t"), a["m"]))
+    # A text is verified with many spellings at once: it is copied SHARES times at most, however many meet it.
+    met = chosen.join(words, "word").join(wanted.select("m", "whole").distinct(), "m").select(text_key, F.struct("m", "whole").alias("a"), (F.abs(F.hash("m")) % SHARES).alias("share"))
+    asked = met.groupBy(text_key, "share").agg(F.collect_set("a").alias("asked"))
+    verified = asked.join(own, text_key).select(text_key, F.explode(F.filter("asked", holds)).alias("a")).select(text_key, "a.m", "a.whole")
+    hits = verified.join(wanted, ["m", "whole"]).select(item_key, text_key).distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
     return items.select(item_key).distinct().join(hits, item_key, "left").select(item_key, "first", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
@@ -66,22 +79,20 @@ def route_segments(route: Column | str) -> Column:
 def routes_called(written: DataFrame, items: DataFrame) -> DataFrame:
     """Items whose last segments equal a written path, each once (C05, C06); a parameter matches anything.
 
-    ``written``: path; ``items``: route and more. A path meets an item through one fixed
-    segment at the same distance from the end, or through none where one of them has a
-    parameter there: the last segments are compared by equality, with a wildcard each.
+    ``written``: path; ``items``: route and more. The segments that neither side leaves open
+    are a key for each pair of patterns of parameters, of which there are few; so both sides meet by equality and
+    an item is kept once, however many paths call it.
     """
-    left = written.select(route_segments("path").alias("w")).distinct().where(F.size("w") > 0).withColumn("k", F.element_at("w", -1))
-    rows = items.withColumn("r", route_segments("route")).where(F.size("r") > 0).withColumn("k", F.element_at("r", -1))
-    size = F.least(F.size("w"), F.size("r"))
-    tail = F.slice("r", F.size("r") - size + 1, size)
-    same = F.forall(F.arrays_zip(F.slice("w", F.size("w") - size + 1, size).alias("w"), tail.alias("t")), lambda p: (p["w"] == p["t"]) | (p["w"] == "{}") | (p["t"] == "{}"))
-    met = lambda a, b: a.join(b, "k").where((F.size("w") <= F.size("r")) & same).select(*items.columns)
-    equal = met(rows, left)
-    # The few distinct last segments of one side stand in for a parameter that ends the other.
-    fixed_paths, fixed_items = left.select("k").distinct().where("k <> '{}'"), rows.select("k").distinct().where("k <> '{}'")
-    open_items = met(rows.where("k = '{}'").drop("k").join(fixed_paths), left)
-    open_paths = met(rows, left.where("k = '{}'").drop("k").join(fixed_items))
-    return equal.unionByName(open_items).unionByName(open_paths).distinct()
+    wild = lambda c: F.array_join(F.transform(c, lambda x: F.when(x == "{}", "?").otherwise("=")), "")
+    paths = written.select(route_segments("path").alias("s")).distinct().withColumn("n", F.size("s")).where("n > 0").withColumn("w", wild(F.col("s")))
+    rows = items.withColumn("_r", route_segments("route"))
+    tails = rows.select("_r").distinct().where(F.size("_r") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("_r")))).withColumn("s", F.slice("_r", F.size("_r") - F.col("n") + 1, F.col("n")))
+    tails = tails.withColumn("i", wild(F.col("s")))
+    # What is fixed on both sides must be equal: that is a key for each pair of patterns of parameters.
+    fixed = F.transform("s", lambda x, k: F.when(F.substr("w", k + 1, F.lit(1)).eqNullSafe("=") & F.substr("i", k + 1, F.lit(1)).eqNullSafe("="), x).otherwise(F.lit("{}")))
+    called = paths.join(tails.select("n", "i").distinct(), "n").select("w", "i", fixed.alias("key")).distinct()
+    found = tails.join(paths.select("n", "w").distinct(), "n").select("_r", "w", "i", fixed.alias("key")).join(called, ["w", "i", "key"], "left_semi").select("_r").distinct()
+    return rows.join(found, "_r", "left_semi").select(*items.columns).distinct()
 
 
 def match_routes(routes: DataFrame, items: DataFrame) -> DataFrame:
