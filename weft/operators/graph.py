@@ -152,3 +152,21 @@ def run_plan(states: DataFrame, named: DataFrame, levels: DataFrame) -> DataFram
     """Steps to run, in order: the named ones and everything stale."""
     wanted = states.where("state <> 'fresh'").select("node").unionByName(named.select("node")).distinct()
     return numbered(wanted.join(levels, "node").select("node", "level"), ("level", "node"), "step").select("node", "step")
+
+
+def labelled_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label: one row for each path from a root, labels joined along it.
+
+    ``roots``: node, label; ``edges``: src, dst, label. A path that would come to one of its own nodes again
+    ends before it, so cycles end by themselves. There is one round for each edge of the longest path, and as many rows as paths:
+    a node that is reached in several ways has several. Nodes are strings; null ends take no part.
+    """
+    steps = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.coalesce("label", F.lit("")).alias("step")))
+    reached = frontier = saved(roots.select("node", F.coalesce("label", F.lit("")).alias("label"), F.array("node").alias("past")))
+    while True:
+        further = frontier.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("past", F.col("dst")))
+        frontier = saved(further.select(F.col("dst").alias("node"), F.concat("label", "step").alias("label"), F.concat("past", F.array("dst")).alias("past")))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached.select("node", "label")
