@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import routes, signals, source_code
+from weft.operators import imports, infra, lock_files, routes, signals, source_code
 from weft.plans.registry import query
 
 
@@ -105,3 +105,90 @@ def rails_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"""concat('Rails.application.routes.draw do\n', array_join(transform(filter(sequence(1, 4), j -> j <= p_size % 4), j -> concat('namespace :n', j, ' do\n')), ''),
         'resources :orders, only: [:index, :show] do\n  member do\n    post "cancel"\n  end\n  resources :lines, only: %i[show destroy]\n  get :late, on: :collection # get "no"\nend\nget "ping', p_partkey % 5, '", to: "a#b"\n', repeat('end\n', p_size % 4), 'end\n')"""
     return routes.rails_routes(_files(spark, sf_dir, "part", "concat('a', p_partkey, '/config/routes.rb')", text))
+
+
+#: A lock of each supplier: a chain of packages as deep as its number says, every second of which has its own copy of x.
+LOCK = r"""concat('{"lockfileVersion":3,"packages":{"":{"dependencies":{"p0":"*"}},"node_modules/x":{"version":"1.', s_suppkey, '"}', array_join(transform(sequence(0, s_suppkey % 4), i -> concat(
+    ',"node_modules/p', i, '":{"version":"1.0.', i, '","dependencies":{"x":"*"', if(i < s_suppkey % 4, concat(',"p', i + 1, '":"*"'), ''), '}}', if(i % 2 = 0, concat(',"node_modules/p', i, '/node_modules/x":{"version":"2.', i, '"}'), ''))), ''), '}}')"""
+CHAIN = "WITH s AS (SELECT 'a' || s_suppkey || '/package-lock.json' AS manifest, s_suppkey AS k, s_suppkey % 4 AS d FROM supplier), p AS (SELECT manifest, k, d, unnest(range(0, d + 1)) AS i FROM s)"
+
+
+def _locks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return lock_files.locked_packages(_files(spark, sf_dir, "supplier", "concat('a', s_suppkey, '/package-lock.json')", LOCK))
+
+
+@query(
+    CHAIN
+    + """ SELECT manifest, 'npm' AS ecosystem, key, name, version, false AS dev, direct FROM (
+      SELECT manifest, 'node_modules/p' || i AS key, 'p' || i AS name, '1.0.' || i AS version, i = 0 AS direct FROM p UNION ALL SELECT manifest, 'node_modules/x', 'x', '1.' || k, false FROM s
+      UNION ALL SELECT manifest, 'node_modules/p' || i || '/node_modules/x', 'x', '2.' || i, false FROM p WHERE i % 2 = 0)"""
+)
+def locked_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _locks(spark, sf_dir)[0]
+
+
+@query(
+    CHAIN
+    + """ SELECT manifest, 'node_modules/p' || i AS src, 'node_modules/p' || (i + 1) AS dst FROM p WHERE i < d
+    UNION ALL SELECT manifest, 'node_modules/p' || i, CASE WHEN i % 2 = 0 THEN 'node_modules/p' || i || '/node_modules/x' ELSE 'node_modules/x' END FROM p"""
+)
+def locked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _locks(spark, sf_dir)[1]
+
+
+@query(
+    CHAIN
+    + """ SELECT manifest, 'p' || i AS name, list_transform(range(0, i), lambda j: 'p' || j) AS via FROM p WHERE i > 0 UNION ALL SELECT manifest, 'x', ['p0'] FROM s"""
+)
+def locked_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lock_files.via_chains(*_locks(spark, sf_dir))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END AS n FROM part), e AS (SELECT k, n FROM p WHERE n IN (SELECT k FROM p))
+    SELECT 'src/m' || k || '/index.ts' AS src, 'src/m' || n || '/index.ts' AS dst FROM e UNION ALL SELECT 'app/q' || k || '.py', 'app/q' || n || '.py' FROM e"""
+)
+def project_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules of each part that import the next one of a ring of five, through an alias, a package and an index file."""
+    after = "if(p_partkey % 5 = 4, p_partkey - 4, p_partkey + 1)"
+    script = _files(spark, sf_dir, "part", "concat('src/m', p_partkey, '/index.ts')", rf"""concat('import React from "react"\nimport {{ a }} from "~/m', {after}, '"\n// import b from "~/m1"\nconst s = "from \'~/m1\'"\n')""")
+    module = _files(spark, sf_dir, "part", "concat('app/q', p_partkey, '.py')", rf"""concat('import os\nfrom app import (  # names\n  q', {after}, ' as n,\n)\n', repeat('"', 3), '\nimport q1\n', repeat('"', 3), '\n')""")
+    return imports.resolved_imports(script.unionByName(module), spark.createDataFrame([("~/", "src")], "prefix string, target string"))
+
+
+@query(
+    """WITH s AS (SELECT 's' || s_suppkey || '/docker-compose.yml' AS file, s_suppkey AS k FROM supplier)
+    SELECT kind, type, name, file, CAST(line AS INT) AS line, image, tag, ports, replicas, variables FROM (
+      SELECT 'workload' AS kind, 'compose-service' AS type, 'web' AS name, file, 3 AS line, 'r.io:5000/web' AS image, '1.' || k AS tag, ['80', CAST(9000 + k % 7 AS VARCHAR)] AS ports, CAST(k % 4 AS VARCHAR) AS replicas, ['KEY', 'MODE'] AS variables FROM s
+      UNION ALL SELECT 'workload', 'compose-service', 'db' || k % 3, file, 14, NULL, NULL, [], NULL, ['PASS'] FROM s UNION ALL SELECT 'volume', 'compose-volume', 'data', file, 19, NULL, NULL, NULL, NULL, NULL FROM s)"""
+)
+def compose_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services and volumes of a compose file of each supplier."""
+    text = r"""concat('# services\nservices:\n  web:\n    image: "r.io:5000/web:1.', s_suppkey, '"  # pinned\n    ports:\n      - "8080:80"\n      - target: ', 9000 + s_suppkey % 7, '\n    environment:\n    - KEY=x\n    - MODE\n    deploy:\n      replicas: ', s_suppkey % 4,
+        '\n\n  db', s_suppkey % 3, ':\n    build: .\n    environment:\n      PASS: "image: no"\nvolumes:\n  data:\n    driver: local\n')"""
+    return infra.compose_rows(infra.yaml_paths(_files(spark, sf_dir, "supplier", "concat('s', s_suppkey, '/docker-compose.yml')", text)))
+
+
+@query(
+    """WITH s AS (SELECT 'k/' || s_suppkey || '.yaml' AS file, s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'StatefulSet' ELSE 'CronJob' END AS type FROM supplier)
+    SELECT kind, type, name, file, CAST(line AS INT) AS line, image, tag, ports, replicas, variables FROM (
+      SELECT CASE WHEN type = 'CronJob' THEN 'job' ELSE 'workload' END AS kind, type, 'w' || k AS name, file, 2 AS line, NULL AS image, NULL AS tag, NULL::VARCHAR[] AS ports, CASE WHEN type <> 'CronJob' THEN CAST(k % 5 AS VARCHAR) END AS replicas, NULL::VARCHAR[] AS variables FROM s
+      UNION ALL SELECT 'image', 'container', 'app', file, 11, 'app', '2.' || k, [CAST(8000 + k % 9 AS VARCHAR)], NULL, ['TOKEN'] FROM s UNION ALL SELECT 'secret', 'Secret', 'key' || k, file, 20, NULL, NULL, NULL, NULL, NULL FROM s)"""
+)
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workloads, their images and secrets of manifests of each supplier."""
+    text = r"""concat('apiVersion: v1\nkind: ', CASE s_suppkey % 3 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'StatefulSet' ELSE 'CronJob' END, '\nmetadata:\n  name: w', s_suppkey, '\nspec:\n  replicas: ', s_suppkey % 5,
+        '\n  template:\n    spec:\n      containers:\n      - name: app\n        image: app:2.', s_suppkey, '\n        ports:\n        - containerPort: ', 8000 + s_suppkey % 9, '\n        env:\n        - name: TOKEN\n          value: "x"\n---\n# a secret\napiVersion: v1\nkind: Secret\nmetadata: # named\n  name: key', s_suppkey, '\ndata:\n  kind: Service\n')"""
+    return infra.kubernetes_rows(infra.yaml_paths(_files(spark, sf_dir, "supplier", "concat('k/', s_suppkey, '.yaml')", text)))
+
+
+@query(
+    """WITH p AS (SELECT 'm' || p_partkey || '/main.tf' AS file, p_partkey AS k FROM part)
+    SELECT kind, type, name, file, CAST(line AS INT) AS line, NULL AS image, NULL AS tag, NULL::VARCHAR[] AS ports, NULL AS replicas, variables FROM (
+      SELECT 'resource' AS kind, 'aws_b' || k % 5 AS type, 'r' || k AS name, file, 2 AS line, NULL AS variables FROM p UNION ALL SELECT 'resource', 'data.aws_ami', 'img', file, 6, NULL FROM p
+      UNION ALL SELECT 'module', 'module', 'net', file, 7, ['cidr', 'zone' || k % 3] FROM p UNION ALL SELECT 'variable', 'variable', 'v' || k, file, 12, NULL FROM p)"""
+)
+def terraform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a Terraform file of each part."""
+    text = r"""concat('# resource "aws_no" "no" {}\nresource "aws_b', p_partkey % 5, '" "r', p_partkey, '" {\n  bucket = "resource {"\n  tags = { a = 1 }\n}\ndata "aws_ami" "img" {}\nmodule "net" {\n  source = "./net"\n  cidr = "10.0.0.0/8"\n  zone', p_partkey % 3, ' = ["a"]\n}\nvariable "v', p_partkey, '" {}\n')"""
+    return infra.terraform_rows(_files(spark, sf_dir, "part", "concat('m', p_partkey, '/main.tf')", text))
