@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import rounded
+from weft.operators.numbering import numbered
 
 #: Key expressions of a usage summary, with their defaults.
 USAGE_KEYS = {
@@ -86,11 +87,13 @@ def file_history(commits: DataFrame, tracked: DataFrame | None = None, limit: in
 def bus_factor(commits: DataFrame) -> DataFrame:
     """The fewest authors with half of the commits or more (D04): bus_factor long, authors long, commits long."""
     each = commits.select("hash", "author").distinct().groupBy("author").agg(F.count("*").alias("n"))
-    # One row for each author: few next to the commits, so one ordered task takes them.
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("n"), "author").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    marked = each.select("n", (before < total / 2).alias("needed"))
-    return marked.agg(F.count_if("needed").alias("bus_factor"), F.count("*").alias("authors"), F.sum("n").alias("commits"))
+    # Authors of the same number of commits are one row: of N commits there are at most about the root of 2 N such numbers.
+    alike = each.groupBy("n").agg(F.count("*").alias("authors"))
+    before = F.coalesce(F.sum(F.col("n") * F.col("authors")).over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(F.col("n") * F.col("authors")).over(Window.partitionBy())
+    needed = F.greatest(F.lit(0), F.least(F.col("authors"), F.ceil((total / 2 - before) / F.col("n")))).cast("long")
+    marked = alike.select("n", "authors", needed.alias("needed"))
+    return marked.agg(F.coalesce(F.sum("needed"), F.lit(0)).alias("bus_factor"), F.coalesce(F.sum("authors"), F.lit(0)).alias("authors"), F.sum(F.col("n") * F.col("authors")).alias("commits"))
 
 
 def ratio(n: Column, total: Column) -> Column:
@@ -189,7 +192,7 @@ def count_states(rows: DataFrame, by: str, state: str, states: tuple[str, ...])
 def candidate_groups(items: DataFrame) -> DataFrame:
     """Inventory ids grouped by their first segment, numbered in the order of their first row.
 
-    ``items``: id, pos. One row for each segment reaches the numbering.
+    ``items``: id, pos. Segments are numbered by range, in no single task.
     """
     bare = F.regexp_replace("id", "^[A-Z]+ ", "")
     segment = F.coalesce(F.get(F.filter(F.split(bare, "/"), lambda x: (x != "") & ~x.rlike(r"^[:{\[]")), F.lit(0)), F.lit("home"))
@@ -200,5 +203,5 @@ def candidate_groups(items: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(~is_api & ~is_route, F.col("id")))).alias("keys"),
         F.min("pos").alias("first"),
     )
-    number = F.row_number().over(Window.orderBy("first", "segment"))
-    return grouped.select(F.concat(F.lit("F-"), F.lpad(number.cast("string"), 4, "0")).alias("id"), "segment", "routes", "api", "keys")
+    placed = numbered(grouped, ("first", "segment"), "number")
+    return placed.select(F.concat(F.lit("F-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"), "segment", "routes", "api", "keys")

@@ -75,7 +75,7 @@ def criteria(indicators: DataFrame, thresholds: DataFrame) -> DataFrame:
     criterion, indicator, threshold, at_most. A criterion without an indicator row holds.
     """
     spaces = indicators.select("space").distinct()
-    every = spaces.crossJoin(F.broadcast(thresholds))
+    every = spaces.crossJoin(thresholds)
     held = every.join(indicators, ["space", "indicator"], "left")
     ok = F.when(F.col("value").isNull(), True).when(F.col("at_most"), F.col("value") <= F.col("threshold") + 1e-9).otherwise(F.col("value") >= F.col("threshold") - 1e-9)
     return held.select("space", "level", "criterion", ok.alias("ok"))

@@ -179,16 +179,42 @@ def resolve_suffix(paths: DataFrame, files: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(found, "path", "left").select("path", resolved.alias("file"))
 
 
-def overlapping(ranges: DataFrame, touched: DataFrame, key: str, width: int = 64) -> DataFrame:
+def met_by_start(names: DataFrame, patterns: DataFrame, name: str, start: str) -> DataFrame:
+    """Distinct names with the patterns that they begin with: every beginning of a name is a key."""
+    longest = F.greatest(F.lit(1), F.length(name))
+    begun = names.select(name).where(F.length(name) > 0).distinct().select(name, F.explode(F.sequence(F.lit(1), longest)).alias("k")).select(name, F.left(F.col(name), F.col("k")).alias("_start"))
+    return begun.join(patterns.withColumn("_start", F.col(start)), "_start").drop("_start")
+
+
+def met_by_part(names: DataFrame, patterns: DataFrame, name: str, part: str, gram: int = 3) -> DataFrame:
+    """Distinct names with the patterns that stand in them, case aside: they meet by runs of up to ``gram`` characters, then whole patterns are looked for."""
+    own = names.select(name).distinct()
+    found = None
+    for size in range(1, gram + 1):
+        wanted = patterns.where(F.length(part) >= gram if size == gram else F.length(part) == size).withColumn("_gram", F.left(F.lower(part), F.lit(size)))
+        met = own.select(name, F.explode(F.array_distinct(_grams(F.lower(name), size))).alias("_gram")).join(wanted, "_gram").where(F.contains(F.lower(name), F.lower(part))).drop("_gram")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+def overlapping(ranges: DataFrame, touched: DataFrame, key: str) -> DataFrame:
     """Ranges of the same key that touch: key, lo, hi, touches.
 
-    Both sides are cut into cells of ``width``: pairs meet by equality on (key, cell),
-    and count in the first cell that they share.
+    A range of up to 2 ** level numbers lies in at most two cells of that width. Two ranges meet in the cells of the wider
+    one's level, by equality on (key, level, cell), and count in the first cell that they share; so a range
+    stands for two rows a level however wide it is. Ranges with a null end take no part.
     """
-    cells = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    a = cells(ranges.select(key, "lo", "hi").distinct())
-    b = cells(touched.select(key, "lo", "hi").distinct()).withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
-    met = a.join(b, [key, "cell"]).where("lo <= hi2 AND lo2 <= hi").where(F.col("cell") == F.floor(F.greatest("lo", "lo2") / width))
+    a, b = (df.select(key, "lo", "hi").where("lo <= hi").distinct().withColumn("own", F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")) for df in (ranges, touched))
+    top = a.select("own").unionByName(b.select("own")).agg(F.max("own")).first()[0]
+    if top is None:
+        return a.select(key, "lo", "hi", F.lit(0).cast("long").alias("touches")).where("false")
+    cell = lambda x: F.floor(F.col(x) / F.pow(F.lit(2), F.col("level"))).cast("long")
+    cells = lambda df, levels: df.withColumn("level", F.explode(levels)).withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+    wide = lambda df: cells(df, F.array("own")).drop("own")
+    every = lambda df, more: cells(df, F.when(F.col("own") + more <= top, F.sequence(F.col("own") + more, F.lit(top)))).drop("own")
+    other = {"lo": "lo2", "hi": "hi2"}
+    met = every(a, 0).join(wide(b).withColumnsRenamed(other), [key, "level", "cell"]).unionByName(wide(a).join(every(b, 1).withColumnsRenamed(other), [key, "level", "cell"]))
+    met = met.where("lo <= hi2 AND lo2 <= hi").where(F.col("cell") == F.floor(F.greatest("lo", "lo2") / F.pow(F.lit(2), F.col("level"))))
     return met.groupBy(key, "lo", "hi").agg(F.count("*").alias("touches"))
 
 

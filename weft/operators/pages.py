@@ -18,13 +18,20 @@ from weft.operators.filters import answer_state
 LINE_ENDS = r"(?i)(</(?:p|li|h[1-6]|tr|div)>|<br ?/?>)"
 
 
+#: Patterns that one expression tests.
+MOST_TERMS = 500
+
+
 def glossary_for(glossary: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """Terms whose pattern, case aside, matches any text (B05). ``glossary``: term, pattern.
 
-    A glossary is a short list; its patterns are tested on one pass over the texts, each
-    text giving the terms that it holds.
+    Up to MOST_TERMS patterns are tested on one pass over the texts, each
+    text giving the terms that it holds. A longer glossary is joined with the distinct texts, pattern by pattern.
     """
-    listed = glossary.select("term", "pattern").where("pattern IS NOT NULL").collect()
+    terms = glossary.select("term", "pattern").where("pattern IS NOT NULL")
+    listed = terms.limit(MOST_TERMS + 1).collect()
+    if len(listed) > MOST_TERMS:
+        return texts.select(F.col(text).alias("t")).distinct().join(terms, F.regexp_like("t", F.concat(F.lit("(?iu)"), "pattern"))).select("term").distinct()
     hits = F.array_compact(F.array(*[F.when(F.col(text).rlike("(?iu)" + r.pattern), F.lit(r.term)) for r in listed])) if listed else F.array().cast("array<string>")
     return texts.select(F.explode(hits).alias("term")).distinct()
 
@@ -49,18 +56,17 @@ def card_rubrics(cards: DataFrame, rubrics: DataFrame, key: str = "card", body:
 
     A rubric line is ``**Label**: value`` or ``Label: value``; it collects the lines up to the next one.
     A rubric written twice joins its values. A required rubric that is absent or empty is missing, an optional one has no row. ``rubrics``:
-    rubric, label, required, a short list. The text before the first rubric line is no rubric's.
+    rubric, label, required; lines meet the labels by equality, case aside. The text before the first rubric line is no rubric's.
     """
-    known = rubrics.select("rubric", "label", "required").collect()
     label = F.lower(F.trim(F.regexp_extract("l", r"^\s*(?:\*\*)?([^:*]{1,80}?)(?:\*\*)?\s*:", 1)))
     lines = cards.select(key, F.posexplode(F.split(body, "\r?\n")).alias("at", "l"))
-    own = F.coalesce(*[F.when(label == r.label.lower(), r.rubric) for r in known]) if known else F.lit(None).cast("string")
-    lines = lines.withColumn("head", own)
+    known = rubrics.groupBy(F.lower("label").alias("label")).agg(F.min("rubric").alias("head"))
+    lines = lines.withColumn("label", label).join(known, "label", "left").drop("label")
     carried = lines.withColumn("rubric", F.last("head", ignorenulls=True).over(Window.partitionBy(key).orderBy("at"))).where("rubric IS NOT NULL")
     value = F.when(F.col("head").isNotNull(), F.regexp_replace("l", r"^[^:]*:(?:\*\*)?\s*", "")).otherwise(F.col("l"))
     gathered = carried.groupBy(key, "rubric").agg(F.array_sort(F.collect_list(F.struct("at", value.alias("v")))).alias("vs"))
     values = gathered.select(key, "rubric", F.trim(F.regexp_replace(F.array_join(F.transform("vs", lambda x: x["v"]), "\n"), r"^\s+|\s+$", "")).alias("value"))
-    every = cards.select(key).distinct().crossJoin(F.broadcast(rubrics.select("rubric", "required")))
+    every = cards.select(key).distinct().crossJoin(rubrics.select("rubric", "required"))
     out = every.join(values, [key, "rubric"], "left").withColumn("value", F.coalesce("value", F.lit("")))
     return out.where("required OR value <> ''").select(key, "rubric", "required", "value", answer_state(F.col("value")).alias("state"))
 

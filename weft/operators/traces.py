@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import normal_route
+from weft.operators.joins import met_by_part, met_by_start
 
 
 def handlers(features: DataFrame, api: DataFrame) -> DataFrame:
@@ -25,8 +26,8 @@ def traces(technologies: DataFrame, dependencies: DataFrame, infra: DataFrame, e
     """id, source, what, file: where a technology shows in the code, the first ``most`` of each source.
 
     ``technologies``: id, packages, images, infra, env (arrays): a package name that ends in a
-    star, and every env name, is a beginning; infra is a part of a resource's type. Exact names meet by equality;
-    beginnings and parts are a catalogue's short list, tested against the distinct names only. ``dependencies``: name, file; ``infra``:
+    star, and every env name, is a beginning; infra is a part of a resource's type. Exact names meet by equality, as do
+    beginnings, and parts by runs of characters, with the distinct names. ``dependencies``: name, file; ``infra``:
     type, image, file; ``env``: name, file.
     """
     t = lambda c: technologies.select("id", F.explode(c).alias("p")).distinct()
@@ -34,19 +35,18 @@ def traces(technologies: DataFrame, dependencies: DataFrame, infra: DataFrame, e
     exact = packages.where(~F.col("p").endswith("*")).join(dependencies.withColumnRenamed("name", "p"), "p").select("id", F.lit("dependencies").alias("source"), F.col("p").alias("what"), "file")
     starts = packages.where(F.col("p").endswith("*")).select("id", F.regexp_replace("p", r"\*$", "").alias("p"))
 
-    def by_names(rows: DataFrame, column: str, patterns: DataFrame, holds, source: str) -> DataFrame:
-        names = rows.select(F.col(column).alias("what")).distinct()
-        met = names.join(F.broadcast(patterns), holds).select("id", "what").distinct()
+    def by_names(rows: DataFrame, column: str, patterns: DataFrame, meet, source: str) -> DataFrame:
+        met = meet(rows.select(F.col(column).alias("what")), patterns, "what", "p").select("id", "what").distinct()
         return met.join(rows.withColumnRenamed(column, "what"), "what").select("id", F.lit(source).alias("source"), "what", "file")
 
     image = F.lower(F.regexp_replace("image", r"(?:@sha256:.*|:[\w.-]+)$", ""))
     images = infra.where("image IS NOT NULL").select(image.alias("k"), F.col("image").alias("what"), "file").join(t("images").select("id", F.lower("p").alias("k")), "k").select("id", F.lit("infra").alias("source"), "what", "file")
     parts = [
         exact,
-        by_names(dependencies, "name", starts, F.startswith("what", F.col("p")), "dependencies"),
+        by_names(dependencies, "name", starts, met_by_start, "dependencies"),
         images,
-        by_names(infra.select("type", "file"), "type", t("infra"), F.contains(F.lower("what"), F.lower("p")), "infra"),
-        by_names(env, "name", t("env"), F.startswith("what", F.col("p")), "env"),
+        by_names(infra.select("type", "file"), "type", t("infra"), met_by_part, "infra"),
+        by_names(env, "name", t("env"), met_by_start, "env"),
     ]
     every = reduce(DataFrame.unionByName, parts).distinct()
     place = F.row_number().over(Window.partitionBy("id", "source").orderBy("what", "file"))
@@ -96,11 +96,11 @@ def topic_order(pages: DataFrame, ranks: DataFrame) -> DataFrame:
     return ranked.select("topic", "page", "space", F.row_number().over(order).alias("place"))
 
 
-def expanded_presets(presets: DataFrame, names: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """name: what presets stand for, however they nest; cycles end where they begin (G09). ``presets``: preset, name."""
+def expanded_presets(presets: DataFrame, names: DataFrame) -> DataFrame:
+    """name: what presets stand for, however deep they nest; cycles end where they begin (G09). ``presets``: preset, name."""
     from weft.operators.graph import shortest_depths
 
-    reached = shortest_depths(names.select(F.col("name").alias("node")), presets.select(F.col("preset").alias("src"), F.col("name").alias("dst")), most_rounds)
+    reached = shortest_depths(names.select(F.col("name").alias("node")), presets.select(F.col("preset").alias("src"), F.col("name").alias("dst")))
     return reached.select(F.col("node").alias("name")).join(presets.select(F.col("preset").alias("name")).distinct(), "name", "left_anti").distinct()
 
 
@@ -119,9 +119,8 @@ def spaces(declared: DataFrame, profiles: DataFrame) -> DataFrame:
 def system_model(packages: DataFrame, env: DataFrame, frameworks: DataFrame, services: DataFrame) -> DataFrame:
     """kind, name: containers that packages show and outside systems that settings show.
 
-    ``frameworks``: name, container (joined by equality); ``services``: prefix, system, a short list of beginnings tested on distinct names.
+    ``frameworks``: name, container (joined by equality); ``services``: prefix, system; distinct names meet their beginnings by equality.
     """
     containers = packages.select("name").distinct().join(frameworks, "name").select(F.lit("container").alias("kind"), F.col("container").alias("name")).distinct()
-    names = env.select("name").distinct()
-    outside = names.join(F.broadcast(services), F.startswith("name", F.col("prefix"))).select(F.lit("external").alias("kind"), F.col("system").alias("name")).distinct()
+    outside = met_by_start(env, services, "name", "prefix").select(F.lit("external").alias("kind"), F.col("system").alias("name")).distinct()
     return containers.unionByName(outside)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as fx
 from weft.operators import aggregates, backlog, code_facts, filters, graph, ordered, proofs, ranking, state
+from weft.operators.numbering import numbered
 from weft.plans.registry import query
 
 
@@ -83,11 +84,10 @@ def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT *, a || '.' || b || '.0' || CASE pre WHEN 0 THEN '' WHEN 1 THEN '-alpha.' || s_suppkey WHEN 2 THEN '-alpha' ELSE '-rc.1' END AS version FROM v)
     SELECT s_suppkey, version, row_number() OVER (ORDER BY a, b, CASE pre WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END, CASE WHEN pre = 1 THEN s_suppkey END, s_suppkey) AS place FROM k""")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     version = F.expr("concat(s_nationkey % 3, '.', s_suppkey % 5, '.0', CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('-alpha.', s_suppkey) WHEN 2 THEN '-alpha' ELSE '-rc.1' END)")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", version.alias("version"))
-    return rows.select("s_suppkey", "version", F.row_number().over(Window.orderBy(fx.version_key("version"), "s_suppkey")).alias("place"))
+    placed = numbered(rows.withColumn("key", fx.version_key("version")), ("key", "s_suppkey"), "place")
+    return placed.select("s_suppkey", "version", F.col("place").cast("int").alias("place"))
 
 
 @query(r"SELECT page_id, md5(regexp_replace(html, '<([\p{Lu}\p{Ll}/!?])', '&lt;\1', 'g')) AS inert FROM pages")
