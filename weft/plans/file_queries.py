@@ -79,11 +79,12 @@ def safe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT '1.' || s_nationkey || '.' || s_suppkey AS version, s_suppkey AS total, s_nationkey % 4 AS branch, s_nationkey AS a, s_suppkey AS b FROM supplier)
     SELECT branch, version, total FROM r QUALIFY row_number() OVER (PARTITION BY branch ORDER BY a DESC, b DESC) = 1""")
 def change_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change records written one file a branch; the latest version of each branch."""
+    """Change records in files of a hundred, and a broken one; the latest version of each branch."""
     path = folder(spark)
     s = table(spark, sf_dir, "supplier")
     records = s.select(F.concat(F.lit("1."), "s_nationkey", F.lit("."), "s_suppkey").alias("version"), F.lit("2026-01-01").alias("generated"), F.col("s_suppkey").alias("total"))
-    records.withColumn("f", F.col("total")).write.partitionBy("f").json(path)
+    listed = records.groupBy(F.floor(F.col("total") / 100)).agg(F.to_json(F.collect_list(F.struct(*records.columns))).alias("value"))
+    listed.select("value").write.option("maxRecordsPerFile", 1).text(path)
     spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(path)
     found = files.change_records(spark, path)
     branch = F.split_part("version", F.lit("."), F.lit(2)).cast("long") % 4

@@ -25,7 +25,9 @@ def listed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     zone = lambda n: F.struct(F.lit(n).alias("n"), F.lit(n * 1.5).alias("x"), F.lit(2.0).alias("y"), F.lit(10.0).alias("w"), F.col("s_nationkey").cast("double").alias("h"), F.col("s_name").alias("label"))
-    table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("title"), F.lit("/s").alias("route"), F.array(zone(1), zone(2)).alias("zones")).write.option("maxRecordsPerFile", 1).json(path)
+    shot = F.struct(F.concat(F.lit("S"), "s_suppkey").alias("title"), F.lit("/s").alias("route"), F.array(zone(1), zone(2)).alias("zones"))
+    # A file holds a list of a hundred descriptions.
+    table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.to_json(F.collect_list(shot)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return reports.read_zones(spark, path)
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import imports, infra, lock_files, routes, signals, source_code
+from weft.operators.tables import shared_folder
 from weft.plans.registry import query
+from weft.sources import adapters
 
 
 def _files(spark: SparkSession, sf_dir: str, table: str, file: str, text: str) -> DataFrame:
@@ -192,3 +198,40 @@ def terraform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a Terraform file of each part."""
     text = r"""concat('# resource "aws_no" "no" {}\nresource "aws_b', p_partkey % 5, '" "r', p_partkey, '" {\n  bucket = "resource {"\n  tags = { a = 1 }\n}\ndata "aws_ami" "img" {}\nmodule "net" {\n  source = "./net"\n  cidr = "10.0.0.0/8"\n  zone', p_partkey % 3, ' = ["a"]\n}\nvariable "v', p_partkey, '" {}\n')"""
     return infra.terraform_rows(_files(spark, sf_dir, "part", "concat('m', p_partkey, '/main.tf')", text))
+
+
+def _spans_of(part: str, options: dict, wanted: dict) -> list[tuple]:
+    """The spans of one file; only those of the events that are asked for are read in full."""
+    rows = (json.loads(line) for line in Path(part).read_text(encoding="utf-8").splitlines())
+    return [(r["event"], r["kind"], r["user"]) for r in rows if "kind" not in wanted or r["kind"] in wanted["kind"]]
+
+
+#: A project's own log format, read file by file; a query's choice of kinds reaches the reader.
+SPAN_ADAPTER = adapters.Adapter("weft_spans", "event long, kind string, user long", lambda options: sorted(str(p) for p in Path(options["path"]).rglob("part-*")), _spans_of, ("kind",))
+
+
+@query("SELECT event_id AS event, event_type AS kind, user_id AS user FROM events WHERE event_type IN ('click', 'purchase')")
+def adapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, written as a project's log below the shared folder and read through its adapter, with two kinds asked for."""
+    path = f"{shared_folder(spark).removeprefix('file://')}/spans-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")).write.json(path)
+    adapters.register_adapter(spark, SPAN_ADAPTER)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("weft_spans").option("path", path).load().where(F.col("kind").isin("click", "purchase"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_brand, p_size FROM part)
+    SELECT name, id, CASE WHEN id = 'GET /brand/Brand#11' THEN 'The first' ELSE coalesce(label, id) END AS label FROM (
+      SELECT DISTINCT 'api' AS name, 'GET /brand/' || p_brand AS id, 'Parts of ' || p_brand AS label FROM p UNION SELECT 'pages', '/shop/p' || k || '/[id]', NULL FROM p UNION SELECT 'docs', 'docs/' || k || '.md', 'Part ' || p_size FROM p
+      UNION SELECT 'words', 'w' || k, 'Word ' || k FROM p)"""
+)
+def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventories of files of each part: operations, pages, documents and messages, with an alias."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    each = lambda file, text: part.select(F.expr(file).alias("file"), F.expr(text).alias("text"))
+    files = each("concat(p_partkey, '/openapi.json')", """concat('{"paths": {"/brand/', p_brand, '": {"get": {"summary": "Parts of ', p_brand, '"}, "x": {}}}}')""")
+    files = files.unionByName(each("concat('web/app/(g)/shop/p', p_partkey, '/[id]/page.tsx')", "''")).unionByName(each("concat('docs/', p_partkey, '.md')", r"concat('text\n# Part ', p_size, '\n')"))
+    files = files.unionByName(each("concat('m', p_partkey, '/en.json')", """concat('{"menu": {"w', p_partkey, '": {"label": "Word ', p_partkey, '"}}}')"""))
+    settings = [("api", "openapi", "", "openapi.json"), ("pages", "next-app-router", "", "page.tsx"), ("docs", "glob", "docs/*.md", ".md"), ("words", "i18n-registry", "menu", "en.json")]
+    return adapters.inventories(spark.createDataFrame(settings, "name string, kind string, setting string, suffix string"), files, spark.createDataFrame([("GET /brand/Brand#11", "The first")], "id string, label string"))
