@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import imports, infra, lock_files, routes, signals, source_code
+from weft.operators import imports, infra, lock_files, registries, routes, shown_text, signals, source_code
 from weft.operators.tables import shared_folder
 from weft.plans.registry import query
 from weft.sources import adapters
@@ -235,3 +235,36 @@ def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.unionByName(each("concat('m', p_partkey, '/en.json')", """concat('{"menu": {"w', p_partkey, '": {"label": "Word ', p_partkey, '"}}}')"""))
     settings = [("api", "openapi", "", "openapi.json"), ("pages", "next-app-router", "", "page.tsx"), ("docs", "glob", "docs/*.md", ".md"), ("words", "i18n-registry", "menu", "en.json")]
     return adapters.inventories(spark.createDataFrame(settings, "name string, kind string, setting string, suffix string"), files, spark.createDataFrame([("GET /brand/Brand#11", "The first")], "id string, label string"))
+
+
+SHOWN_HTML = r"""concat('<p title="t">Part <b>', p_partkey, '</b>&amp;<i>x</i>  y</p><script>if (a<b) "</p>"</script>')"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_text.shown_pieces(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(SHOWN_HTML).alias("html")), "p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT p_partkey, chr(10) || 'Part ' || k || '&x y' || repeat(chr(10), 4) || 't' AS text, [6::BIGINT, 6 + length(k), 7 + length(k), 8 + length(k)] AS breaks FROM p""")
+def shown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a page of each part shows, and where its words may end."""
+    return shown_text.shown_texts(_pieces(spark, sf_dir), "p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, length(CAST(p_partkey AS VARCHAR)) AS n FROM part)
+    SELECT p_partkey, CAST(5 + n AS BIGINT) AS "at", CAST(20 + n AS BIGINT) AS html_at FROM p UNION ALL SELECT p_partkey, 6 + n, 25 + n FROM p UNION ALL SELECT p_partkey, 8 + n, 38 + n FROM p""")
+def shown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the shown text in the html: the last digit of a number, a reference, a blank."""
+    n = F.length(F.col("p_partkey").cast("string"))
+    places = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(F.array(*[(n + k).cast("long") for k in (5, 6, 8)])).alias("at"))
+    return shown_text.html_places(_pieces(spark, sf_dir), places, "p_partkey")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'f' || s_suppkey || '/web/package.json' AS manifest, 'f' || s_suppkey || '/.npmrc' AS file FROM supplier)
+    SELECT manifest, 'npm' AS ecosystem, '' AS scope, 'npm' || k || '.corp.example' AS host, file, CAST(2 AS INT) AS line FROM s UNION ALL SELECT manifest, 'npm', '@a', 'a.corp.example', file, 3 FROM s WHERE k % 2 = 1""")
+def private_registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registries of each supplier's package; every second folder lifts the scope of the one above it."""
+    upper = _files(spark, sf_dir, "supplier", "concat('f', s_suppkey, '/.npmrc')", r"concat('; mine\nregistry=https://u:p@npm', s_suppkey, '.corp.example/\n@a:registry=https://a.corp.example:8443/x\n')")
+    lower = _files(spark, sf_dir, "supplier", "concat('f', s_suppkey, '/web/.npmrc')", "if(s_suppkey % 2 = 0, '@a:registry=https://registry.npmjs.org/', '# none')")
+    manifests = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr("concat('f', s_suppkey, '/web/package.json')").alias("manifest"), F.lit("npm").alias("ecosystem"))
+    return registries.private_registries(manifests, registries.registry_settings(upper.unionByName(lower)))
