@@ -148,3 +148,26 @@ def test_near_copy_stage_settles_repeated_ids(spark):
     got = sorted(((r.doc_id, (r.text or "")[:2], r.source) for r in out.collect()), key=repr)
     assert got == sorted([(1, "wa", "s"), (3, "wb", "r"), (3, "wc", "s"), (4, "wd", "s"), (None, "wa", "s"), (6, "", None), (7, "", "s"), (8, "", "s")], key=repr)
     assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), "").isEmpty()
+
+
+def test_every_pass_has_an_order_of_its_own(spark):
+    df = spark.createDataFrame(corpus(spark, {"big": 600, "small": 60}, seed=5), DOCS)
+    rows = [r for r in mixing.mix_sources(df, target_entropy=0.99, max_epochs=None, block_tokens=20, mix_blocks=1000).collect() if r.source == "small"]
+    passes = min(r.copies for r in rows)
+    assert passes >= 3 and all(list(r.mix_blocks) == sorted(r.mix_blocks) for r in rows)
+    orders = [[r.doc_id for r in sorted(rows, key=lambda r: (r.mix_blocks[i], r.doc_id))] for i in range(passes)]
+    assert len({tuple(x) for x in orders}) == passes
+    # A pass ends before the next one begins, but for the block of the mix that both share.
+    assert all(max(r.mix_blocks[i] for r in rows) <= min(r.mix_blocks[i + 1] for r in rows) for i in range(passes - 1))
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = ("row", "s", "id", "n", "copies", "id_hash", "text_hash", "uid", "found", "base", "added", "component_id", "block", "weight", "kept", "p", "o", "count")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        got = out.collect()
+        assert sorted((repr(r.doc_id), r.text or "") for r in got) == sorted((repr(r.doc_id), r.text or "") for r in plain.collect()), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got if r.doc_id is not None for c in extra), name
