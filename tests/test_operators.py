@@ -109,7 +109,7 @@ def test_graphs(spark):
     assert graph.strong_components(empty).isEmpty() and graph.topological(empty).isEmpty()
 
 
-def test_scan_and_mentions(spark):
+def test_scan_and_mentions(spark, monkeypatch):
     files = spark.createDataFrame([("a.js", 'x\nel.innerHTML = y\nel.innerHTML = sanitize(y)\nconst token = "abcdefghij"'), ("b.py", "eval(x)\nmy.eval(x)")], "file string, text string")
     got = rows(scanners.scan(files, scanners.SECURITY_RULES).select("file", "line", "rule", "severity"))
     assert got == [("a.js", 2, "xss.innerHTML", "low"), ("a.js", 3, "xss.innerHTML", "low"), ("a.js", 4, "secret.default", "medium"), ("b.py", 1, "code.eval", "high")]
@@ -121,6 +121,9 @@ def test_scan_and_mentions(spark):
     docs = spark.createDataFrame([(1, "We use Azure Cosmos DB for MongoDB."), (2, "C# and C++, not MongoDBs"), (3, None), (4, "")], "doc_id long, text string")
     assert rows(scanners.mentions(docs, longer)) == [(1, "MongoDB on Cosmos", 1), (2, "C#", 1), (2, "C++", 1)]
     assert scanners.mentions(docs, longer.where("false")).isEmpty()
+    short = rows(scanners.mentions(docs, longer))
+    monkeypatch.setattr(scanners, "MOST_NAMES", 2)  # beyond it the names are joined
+    assert rows(scanners.mentions(docs, longer)) == short
 
 
 def test_states(spark):

@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weft.operators.tables import saved
 
 
 @dataclass(frozen=True)
@@ -175,24 +179,51 @@ def strongest_guard(guards: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("none", "unknown", "user", "role"))), most + 1)
 
 
-#: Names that one pattern may hold; more would be a table to join, not a catalogue.
+#: Names that one pattern may hold; a longer list is joined by the names' first words.
 MOST_NAMES = 20_000
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _leftmost(lists: pd.Series) -> pd.Series:
+    """Of (place, minus length, run) in order, the runs that begin where no earlier one reaches."""
+
+    def kept(found: list) -> list[str]:
+        out, end = [], 0
+        for x in found:
+            if x["at"] >= end:
+                out.append(x["run"])
+                end = x["at"] - x["less"]
+        return out
+
+    return lists.map(kept)
+
+
+def _joined_runs(texts: DataFrame, listed: DataFrame, key: str, words: Column) -> DataFrame:
+    """key, run of every mention, by a join of the words of the texts with the first words of the names."""
+    first = listed.select(F.split_part("run", F.lit(" "), F.lit(1)).alias("word"), "run", "n_words")
+    placed = texts.select(key, F.split(F.trim(words), " ").alias("words")).select(key, "words", F.monotonically_increasing_id().alias("row"))
+    placed = saved(placed)
+    begun = placed.select("row", F.posexplode("words").alias("at", "word")).join(first, "word")
+    held = begun.join(placed.select("row", "words"), "row").where(F.array_join(F.slice("words", F.col("at") + 1, F.col("n_words")), " ") == F.col("run"))
+    each = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n_words")).alias("less"), "run"))).alias("found"))
+    return placed.select(key, "row").join(each, "row").select(key, F.explode(_leftmost("found")).alias("run"))
+
+
 def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, name, n: names found word for word, from left to right; at each word the longest name counts, and its words aren't read again.
 
-    ``names`` (name, words: array of lower-case words) is a catalogue of at most
-    MOST_NAMES rows, which becomes one pattern; so a text is read once, inside its row.
+    ``names`` (name, words: array of lower-case words): a catalogue of up to
+    MOST_NAMES rows becomes one pattern, so a text is read once, inside its row; a longer one is joined by first words.
     Of names of the same words the smallest counts. Names without words and null texts
     give no rows.
     """
     listed = names.where(F.size("words") > 0).groupBy(F.array_join("words", " ").alias("run"), F.size("words").alias("n_words")).agg(F.min("name").alias("name"))
     runs = [r.run for r in listed.orderBy(F.desc("n_words"), F.desc(F.length("run")), "run").limit(MOST_NAMES + 1).select("run").collect()]
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}+#]+", " ")
     if len(runs) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
+        found = _joined_runs(texts.where(F.col(text).isNotNull()), listed, key, words).groupBy(key, "run").agg(F.count("*").alias("n"))
+        return found.join(listed.select("run", "name"), "run").select(key, "name", "n")
     escaped = [re.sub(r"([^\w ])", r"\\\1", run) for run in runs]
     pattern = rf"(?<![^ ])(?:{'|'.join(escaped)})(?![^ ])" if runs else r"(?!)"
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}+#]+", " ")
     found = texts.select(key, F.explode(F.regexp_extract_all(words, F.lit(pattern), F.lit(0))).alias("run")).groupBy(key, "run").agg(F.count("*").alias("n"))
     return found.join(listed.select("run", "name"), "run").select(key, "name", "n")

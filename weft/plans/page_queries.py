@@ -145,10 +145,13 @@ def licence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", values.licence_name(one, many.cast("array<string>")).alias("licence"))
 
 
-@query("""SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 3421780262 ELSE 907060870 END AS crc FROM region""")
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN '123456789' ELSE 'p' || p_partkey END AS t FROM part)
+    SELECT p_partkey, CAST(xor(4294967295, list_reduce(flatten(list_transform(range(1, length(t) + 1), lambda i: list_transform(range(0, 8), lambda j: (ascii(t[i]) >> j) & 1))),
+        lambda c, bit: xor(c >> 1, xor(c & 1, bit) * 3988292384), 4294967295)) AS BIGINT) AS crc FROM t""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two published check values of CRC-32: of 123456789 and of hello."""
-    return table(spark, sf_dir, "region").select("r_regionkey", values.checksum(F.when(F.col("r_regionkey") == 0, "123456789").otherwise("hello")).alias("crc"))
+    """CRC-32 of a text of each part, bit by bit in SQL; 123456789 is the published check value."""
+    text = F.when(F.col("p_partkey") % 50 == 0, "123456789").otherwise(F.concat(F.lit("p"), "p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", values.checksum(text).alias("crc"))
 
 
 @query("""SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 6""")
@@ -199,10 +202,10 @@ def changes_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.totals(found)
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand || ' ⇄ ' || p_size % 9 AS k FROM part WHERE p_size > 5), a AS (SELECT DISTINCT p_brand || ' ⇄ ' || p_size % 9 AS k FROM part WHERE p_size < 44)
+@query("""WITH b AS (SELECT DISTINCT p_brand || ' ⇄ ' || p_partkey % 97 AS k FROM part WHERE p_size > 5), a AS (SELECT DISTINCT p_brand || ' ⇄ ' || p_partkey % 97 AS k FROM part WHERE p_size < 44)
     SELECT k, 'added' AS change FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'removed' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def changed_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cycle = F.array("p_brand", (F.col("p_size") % 9).cast("string")).alias("cycle")
+    cycle = F.array("p_brand", (F.col("p_partkey") % 97).cast("string")).alias("cycle")
     part = table(spark, sf_dir, "part")
     return changes.cycle_changes(part.where("p_size > 5").select(cycle), part.where("p_size < 44").select(cycle))
 

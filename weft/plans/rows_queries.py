@@ -199,40 +199,45 @@ def append_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.append_new(existing, c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("pos"), F.array(key, F.concat(F.lit("r"), "c_custkey")).alias("routes")))
 
 
-SMALL_EDGES = "e AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + 3) % 40 AS dst FROM part WHERE true)"
+#: Edges inside blocks of seven parts: their number grows with the table, and every block has cycles and chains of its own.
+BLOCK_EDGES = """e AS (SELECT DISTINCT * FROM (SELECT p_partkey AS src, p_partkey // 7 * 7 + (p_partkey * 3 + p_partkey // 7) % 7 AS dst FROM part
+    UNION ALL SELECT p_partkey, p_partkey // 7 * 7 + (p_partkey + 2) % 7 FROM part WHERE p_partkey % 5 = 0))"""
 REACH = "r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
-def _small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select((F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") * 7 + 3) % 40).alias("dst"))
+    k = F.col("p_partkey")
+    block = F.floor(k / 7)
+    one = part.select(k.alias("src"), (block * 7 + (k * 3 + block) % 7).alias("dst"))
+    return one.unionByName(part.where(k % 5 == 0).select(k.alias("src"), (block * 7 + (k + 2) % 7).alias("dst")))
 
 
 @query(
-    f"""WITH RECURSIVE {SMALL_EDGES.replace("FROM part WHERE", "FROM part WHERE (p_partkey % 40) <> ((p_partkey * 7 + 3) % 40) AND")}, {REACH},
+    f"""WITH RECURSIVE {BLOCK_EDGES.replace("e AS", "every AS", 1)}, e AS (SELECT * FROM every WHERE src <> dst), {REACH},
     b AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
     SELECT node, least(min(other), node) AS component, count(DISTINCT other) AS size FROM b GROUP BY node HAVING count(DISTINCT other) > 1"""
 )
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(_small_edges(spark, sf_dir))
+    return graph.strong_components(_block_edges(spark, sf_dir))
 
 
 @query(
-    f"""WITH RECURSIVE {SMALL_EDGES}, b(node, depth, root) AS (SELECT x, 0, x FROM (VALUES (0::BIGINT), (1::BIGINT)) v(x) UNION SELECT e.dst, b.depth + 1, b.root FROM b JOIN e ON b.node = e.src WHERE b.depth < 12)
-    SELECT node, CAST(min(depth) AS INT) AS depth, arg_min(root, depth * 1000 + root) AS root FROM b GROUP BY node"""
+    f"""WITH RECURSIVE {BLOCK_EDGES}, b(node, depth, root) AS (SELECT p_partkey, 0, p_partkey FROM part WHERE p_partkey % 7 IN (0, 3) UNION SELECT e.dst, b.depth + 1, b.root FROM b JOIN e ON b.node = e.src WHERE b.depth < 12)
+    SELECT node, CAST(min(depth) AS INT) AS depth, arg_min(root, depth::BIGINT * 1000000000 + root) AS root FROM b GROUP BY node"""
 )
 def shortest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.createDataFrame([(0,), (1,)], "node long")
-    return graph.shortest_depths(roots, _small_edges(spark, sf_dir))
+    roots = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 IN (0, 3)").select(F.col("p_partkey").alias("node"))
+    return graph.shortest_depths(roots, _block_edges(spark, sf_dir))
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT s_suppkey AS a, (s_suppkey * 3 + 5) % 100 AS b FROM supplier WHERE s_acctbal > 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    """WITH RECURSIVE p AS (SELECT s_suppkey AS a, s_suppkey // 20 * 20 + (s_suppkey * 3 + 5) % 20 AS b FROM supplier WHERE s_acctbal > 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
     r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(min(b), a) AS "group" FROM r GROUP BY a"""
 )
 def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0")
-    return graph.groups(s.select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 3 + 5) % 100).alias("b")))
+    return graph.groups(s.select(F.col("s_suppkey").alias("a"), (F.floor(F.col("s_suppkey") / 20) * 20 + (F.col("s_suppkey") * 3 + 5) % 20).alias("b")))
 
 
 TREE = "e AS (SELECT DISTINCT p_partkey AS src, CAST(floor(p_partkey / 3.0) AS BIGINT) AS dst FROM part WHERE p_partkey > 0)"
@@ -244,14 +249,14 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topological(p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst")))
 
 
-STATES = "s AS (SELECT DISTINCT p_partkey % 61 AS node, CASE WHEN p_partkey % 61 % 9 = 4 THEN 'missing' ELSE 'fresh' END AS state FROM part)"
+STATES = "s AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 9 = 4 THEN 'missing' ELSE 'fresh' END AS state FROM part)"
 
 
-@query(f"WITH RECURSIVE {SMALL_EDGES}, {REACH}, {STATES} SELECT node, CASE WHEN state = 'fresh' AND node IN (SELECT src FROM r WHERE dst IN (SELECT node FROM s WHERE state <> 'fresh')) THEN 'stale' ELSE state END AS state FROM s")
+@query(f"WITH RECURSIVE {BLOCK_EDGES}, {REACH}, {STATES} SELECT node, CASE WHEN state = 'fresh' AND node IN (SELECT src FROM r WHERE dst IN (SELECT node FROM s WHERE state <> 'fresh')) THEN 'stale' ELSE state END AS state FROM s")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 61).alias("node")).distinct()
+    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node"))
     states = nodes.select("node", F.when(F.col("node") % 9 == 4, "missing").otherwise("fresh").alias("state"))
-    return graph.late_states(states, _small_edges(spark, sf_dir))
+    return graph.late_states(states, _block_edges(spark, sf_dir))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '(^red )|(ring$)') AND p_name <> 'blue ['")
