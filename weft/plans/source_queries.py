@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import imports, infra, lock_files, registries, routes, shown_text, signals, source_code
+from weft.operators import entries, imports, infra, lock_files, registries, routes, shown_text, signals, source_code
 from weft.operators.tables import shared_folder
 from weft.plans.registry import query
 from weft.sources import adapters
@@ -268,3 +268,17 @@ def private_registries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = _files(spark, sf_dir, "supplier", "concat('f', s_suppkey, '/web/.npmrc')", "if(s_suppkey % 2 = 0, '@a:registry=https://registry.npmjs.org/', '# none')")
     manifests = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr("concat('f', s_suppkey, '/web/package.json')").alias("manifest"), F.lit("npm").alias("ecosystem"))
     return registries.private_registries(manifests, registries.registry_settings(upper.unionByName(lower)))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_size AS z FROM part)
+    SELECT id, 'steps[0].action' AS path, 'choice' AS problem FROM p WHERE id % 3 = 1 UNION ALL SELECT id, 'steps[1].to.x', 'missing' FROM p WHERE id % 4 = 2 UNION ALL SELECT id, 'width', 'kind' FROM p WHERE z % 5 = 0
+    UNION ALL SELECT id, 'more' || z % 3, 'unknown' FROM p WHERE z % 7 = 3"""
+)
+def entry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of each part held against a nested schema."""
+    text = r"""concat('{"title": "p', p_partkey, '", "width": ', if(p_size % 5 = 0, concat('"', p_size, '"'), p_size), if(p_size % 7 = 3, concat(', "more', p_size % 3, '": {"a": [1]}'), ''), ', "steps": [{"action": "', if(p_partkey % 3 = 1, 'jump', 'click'),
+        '"}, {"action": "fill", "to": {', if(p_partkey % 4 = 2, '', '"x": 1.5'), '}}]}')"""
+    schema = [("", "object", True, None), ("title", "string", True, None), ("width", "number", False, None), ("steps", "array", True, None), ("steps[]", "object", False, None), ("steps[].action", "string", True, ["click", "fill"]), ("steps[].to", "object", False, None), ("steps[].to.x", "number", True, None)]
+    plans = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(text).alias("text"))
+    return entries.entry_errors(plans, spark.createDataFrame(schema, "pattern string, kind string, required boolean, choices array<string>"))
