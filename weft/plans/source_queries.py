@@ -277,7 +277,7 @@ def private_registries(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of each part held against a nested schema."""
-    text = r"""concat('{"title": "p', p_partkey, '", "width": ', if(p_size % 5 = 0, concat('"', p_size, '"'), p_size), if(p_size % 7 = 3, concat(', "more', p_size % 3, '": {"a": [1]}'), ''), ', "steps": [{"action": "', if(p_partkey % 3 = 1, 'jump', 'click'),
+    text = r"""concat('{"title": "p', p_partkey, '", "width": ', if(p_size % 5 = 0, concat('"', p_size, '"'), cast(p_size AS string)), if(p_size % 7 = 3, concat(', "more', p_size % 3, '": {"a": [1]}'), ''), ', "steps": [{"action": "', if(p_partkey % 3 = 1, 'jump', 'click'),
         '"}, {"action": "fill", "to": {', if(p_partkey % 4 = 2, '', '"x": 1.5'), '}}]}')"""
     schema = [("", "object", True, None), ("title", "string", True, None), ("width", "number", False, None), ("steps", "array", True, None), ("steps[]", "object", False, None), ("steps[].action", "string", True, ["click", "fill"]), ("steps[].to", "object", False, None), ("steps[].to.x", "number", True, None)]
     plans = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(text).alias("text"))
