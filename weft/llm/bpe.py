@@ -24,8 +24,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from weft.llm.shared import stash
 from tokenizers import Tokenizer, models
 
 #: A run without white space of so many characters is cut into leaves of at most so many.
@@ -248,11 +246,11 @@ def encode_texts(
     unsplit = (F.length("text") >= leaf) & F.exists(starts, lambda k: ~F.substr("text", k * half + 1, F.lit(half)).rlike(f"[{WHITE}]"))
     is_long = F.coalesce((F.length("text") >= long_text) | unsplit, F.lit(False))
     short = rows.where(~is_long).select("kept", encode("text").alias("coded")).select("kept", "coded.*")
-    # Written once: the ids that pieces and rows meet by must be the same however often a task runs.
-    long = stash(rows.where(is_long).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
-    cut_up = long.select("uid", F.explode(cut("text")).alias("p")).select("uid", "p.*").repartition(F.col("uid"), F.col("seq"))
+    # Ids depend on the text alone: copies of a text meet by its digest, which stays the same whatever runs again, and are encoded once.
+    long = rows.where(is_long).withColumn("uid", F.sha2("text", 256))
+    cut_up = long.select("uid", F.explode(cut("text")).alias("p")).groupBy("uid", "p.seq").agg(F.first("p.kind").alias("kind"), F.first("p.piece").alias("piece"))
     parts = cut_up.select("uid", "seq", "kind", encode_pieces("kind", "piece").alias("part"))
-    joined = parts.groupBy("uid").applyInPandas(join, "ids array<int>, decoded string, uid long")
+    joined = parts.groupBy("uid").applyInPandas(join, "ids array<int>, decoded string, uid string")
     blank = F.lit("") if decode else F.lit(None).cast("string")
     whole = long.select("uid", "kept").join(joined, "uid", "left").select("kept", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("decoded", blank).alias("decoded"))
     return short.unionByName(whole).select("kept.*", "ids", *["decoded"] * decode)

@@ -14,7 +14,8 @@ from weft.llm.catalog_sql import CONVERSATIONS_SQL, FILL_SQL
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Texts can be long: small Arrow batches bound what a Python worker holds at once.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
