@@ -57,7 +57,8 @@ def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_
     chosen = chosen.unionByName(held.join(sums, ["m", "at"]).select("m", "word"))
     edge = r"(?:^|$|[^\p{L}\p{N}])"
     quoted = lambda m: F.concat(F.lit(edge + r"\Q"), F.regexp_replace(m, r"\\E", ""), F.lit(r"\E" + edge))
-    holds = lambda a: F.when(a["whole"], F.regexp_like(F.col("t"), quoted(a["m"]))).otherwise(F.contains(F.col("t"), a["m"]))
+    # The plain search comes first: only what it finds is worth a pattern of its own.
+    holds = lambda a: F.when(F.contains(F.col("t"), a["m"]), ~a["whole"] | F.regexp_like(F.col("t"), quoted(a["m"]))).otherwise(F.lit(False))
     # A text is verified with many spellings at once: it is copied SHARES times at most, however many meet it.
     met = chosen.join(words, "word").join(wanted.select("m", "whole").distinct(), "m").select(text_key, F.struct("m", "whole").alias("a"), (F.abs(F.hash("m")) % SHARES).alias("share"))
     asked = met.groupBy(text_key, "share").agg(F.collect_set("a").alias("asked"))
