@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import normal_route
 from weft.operators.numbering import numbered
-from weft.operators.tables import saved
+from weft.operators.tables import saved, unsent
 
 
 #: Copies of a text that verify spellings side by side.
@@ -181,10 +181,12 @@ def resolve_suffix(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def met_by_start(names: DataFrame, patterns: DataFrame, name: str, start: str) -> DataFrame:
-    """Distinct names with the patterns that they begin with: every beginning of a name is a key."""
-    longest = F.greatest(F.lit(1), F.length(name))
-    begun = names.select(name).where(F.length(name) > 0).distinct().select(name, F.explode(F.sequence(F.lit(1), longest)).alias("k")).select(name, F.left(F.col(name), F.col("k")).alias("_start"))
-    return begun.join(patterns.withColumn("_start", F.col(start)), "_start").drop("_start")
+    """Distinct names with the patterns that they begin with: every beginning of a name that is as long as some pattern is a key."""
+    lengths = patterns.select(F.length(start).alias("k")).distinct().where("k > 0").agg(F.array_sort(F.collect_list("k"))).first()[0]
+    long = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length(name))
+    begun = names.select(name).where(F.length(name) > 0).distinct().select(name, F.explode(long).alias("k")).select(name, F.left(F.col(name), F.col("k")).alias("_start"))
+    # Neither side is sent: beginnings are more than the names, and patterns may be many.
+    return begun.join(unsent(patterns.withColumn("_start", F.col(start))), "_start").drop("_start")
 
 
 def met_by_part(names: DataFrame, patterns: DataFrame, name: str, part: str, gram: int = 3) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Characters of text that one task takes apart: rows of tokens are some hundred times as large while they are sorted.
+TEXT_A_TASK = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +30,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """``files`` dealt to tasks by file, as many as their texts need: Spark would size tasks by compressed bytes, which say little about rows taken from a text. Windows by file need no other shuffle."""
+    size = files.agg(F.sum(F.length(text))).first()[0] or 0
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_A_TASK)), file)
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle: Spark knows tables by their compressed or guessed sizes, so one that grows with the input may look small and be sent through the driver."""
+    return df.hint("merge")
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table that ``saved`` has returned and that nothing reads any more."""
     spark = df.sparkSession

@@ -153,13 +153,14 @@ def inventories(settings: DataFrame, files: DataFrame, aliases: DataFrame) -> Da
     names a row before its own label does; without both the id names it.
     """
     from weft.operators.joins import met_by_start
+    from weft.operators.tables import unsent
 
     spark = settings.sparkSession
     spark.udtf.register("weft_inventory", F.udtf(Inventory, returnType="id string, label string"))
     # Endings of files meet by equality, as beginnings of the names written backwards.
     ends = settings.select("name", "kind", "setting", F.reverse("suffix").alias("back"))
     met = met_by_start(files.select(F.reverse("file").alias("turned")), ends, "turned", "back").select(F.reverse("turned").alias("file"), "name", "kind", "setting")
-    rows = met.join(files, "file")
+    rows = met.join(unsent(files), "file")
     listed = spark.sql("SELECT r.name, t.id, t.label FROM {rows} r, LATERAL weft_inventory(r.kind, r.setting, r.file, r.text) t", rows=rows)
     named = aliases.groupBy("id").agg(F.min("label").alias("alias"))
     return listed.join(named, "id", "left").select("name", "id", F.coalesce("alias", F.nullif("label", F.lit("")), "id").alias("label")).distinct()
