@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.tables import dealt
+
 
 def _string(q: str) -> str:
     return rf"{q}(?:[^{q}\\\n]|\\.)*+{q}?"
@@ -41,7 +43,7 @@ def tokens(files: DataFrame, style: str = "brace", file: str = "file", text: str
     bracket's end (null where it has none), ``n`` the commas before the token inside its parent, ``head`` the code before an opening bracket. ``line`` is that of the token's first character.
     Null texts give no rows; a bracket that closes nothing lowers the level below zero and matches nothing.
     """
-    cut = files.where(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit("(?s)" + STYLES[style]), F.lit(0))).alias("i", "token"))
+    cut = dealt(files.where(F.col(text).isNotNull()).select(file, text), file, text).select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit("(?s)" + STYLES[style]), F.lit(0))).alias("i", "token"))
     token = F.col("token")
     kind = (
         F.when(token.isin("(", "[", "{"), "open")
