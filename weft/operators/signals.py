@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.values import parameter_role, safe_value
 from weft.operators.source_code import arguments, calls, tokens
-from weft.operators.tables import saved
+from weft.operators.tables import saved, unsent
 
 NUMBER = r"^\s*(-?[0-9][0-9_]{0,11})\s*$"
 
@@ -104,7 +104,7 @@ def signals(files: DataFrame, style: str) -> DataFrame:
     place = lambda n: args.where(F.col("n") == n).select("file", "call", _texted(F.col("text"), F.col("value")).alias(f"a{n}"))
     # A call is given to the key of the argument that it stands in, or to the name before the equals sign.
     assigned = F.nullif(F.regexp_extract("head", r"(\w+)\s*(?::[^=(){}]{0,80})?=\s*[\w.]+\s*$", 1), F.lit(""))
-    told = every.join(keys, ["file", "parent", "n"], "left").join(place(0), ["file", "call"], "left").join(place(1), ["file", "call"], "left")
+    told = every.join(unsent(keys), ["file", "parent", "n"], "left").join(unsent(place(0)), ["file", "call"], "left").join(unsent(place(1)), ["file", "call"], "left")
     owner = F.nullif(F.regexp_extract("name", r"(\w+)\.\w+$", 1), F.lit(""))
     told = saved(told.select("file", "call", "name", "head", "line", F.coalesce("given_to", assigned).alias("given_to"), "a0", "a1", owner.alias("owner")))
     none = F.lit(None).cast("string")
@@ -116,17 +116,17 @@ def signals(files: DataFrame, style: str) -> DataFrame:
     # Arguments by key, in a call by its name or in braces by what stands before them.
     brackets = found.where("kind = 'open'").select("file", F.col("i").alias("call"), F.col("line"), F.col("parent").alias("outer"), F.col("n").alias("outer_n"), F.regexp_replace(F.coalesce("head", F.lit("")), r"\s+$", "").alias("before"))
     around = keys.select("file", F.col("parent").alias("outer"), F.col("n").alias("outer_n"), F.col("given_to").alias("around"))
-    named = args.where("key IS NOT NULL").join(brackets, ["file", "call"]).join(around, ["file", "outer", "outer_n"], "left")
+    named = args.where("key IS NOT NULL").join(unsent(brackets), ["file", "call"]).join(unsent(around), ["file", "outer", "outer_n"], "left")
     # Braces that are the only argument of a call count as its keys.
     wrap = every.select("file", F.col("call").alias("outer"), F.col("name").alias("outer_name"))
-    named = named.join(wrap, ["file", "outer"], "left").join(told.select("file", "call", "name", "given_to"), ["file", "call"], "left")
+    named = named.join(unsent(wrap), ["file", "outer"], "left").join(unsent(told.select("file", "call", "name", "given_to")), ["file", "call"], "left")
     of = F.coalesce("name", F.when(F.col("before") == "", F.col("outer_name")), "before")
     value = _texted(F.regexp_replace("text", r"^[\"']?[\w-]+[\"']?\s*(?:=>|[=:])", ""), F.col("value"))
     group = lambda r: F.regexp_extract("key", r.key, 1) if r.field == "name" else {"key": F.col("given_to"), "around": F.col("around"), "": none}[r.field]
     by_key = [F.when(F.col("key").rlike(r.key) & (of.rlike(r.of) if r.of else F.lit(True)), shaped(r.family, r.signal, group(r), value, r.via)) for r in KEY_RULES if r.style == style]
     keyed = named.select("file", "line", F.explode(F.array_compact(F.array(*by_key))).alias("s"))
     # Orders: a name with a sign in front, or a key with its direction.
-    ordered = args.where("key IS NULL AND value IS NOT NULL").join(told.where(F.col("name").rlike(r"\.order_?[bB]y$")).select("file", "call", "line"), ["file", "call"])
+    ordered = args.where("key IS NULL AND value IS NOT NULL").join(unsent(told.where(F.col("name").rlike(r"\.order_?[bB]y$")).select("file", "call", "line")), ["file", "call"])
     orders = ordered.select("file", "line", shaped("sort", "orderBy", F.regexp_replace("value", "^-", ""), F.when(F.startswith("value", F.lit("-")), "desc").otherwise("asc"), "django" if style == "hash" else "sql").alias("s"))
     directed = named.where(F.col("before").rlike(r"\border(?:By)?\s*:$") & F.lower(F.coalesce("value", F.lit(""))).isin("asc", "desc")).select("file", "line", shaped("sort", "orderBy", F.col("key"), F.lower("value"), "prisma").alias("s"))
     # Parameters of requests.
