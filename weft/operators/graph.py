@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.numbering import numbered
-from weft.operators.tables import forget, saved
+from weft.operators.tables import forget, saved, unsent
 
 
 def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def ends_trimmed(edges: DataFrame) -> DataFrame:
     left = saved(edges)
     n = left.count()
     while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = left.join(unsent(left.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(unsent(left.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         left = replaced(left, kept.select("src", "dst"))
         more = left.count()
         if more == n:
@@ -43,29 +43,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         colour = saved(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
-            near = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
-            lower = colour.join(near, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("low"))
+            near = left.join(unsent(colour.withColumnRenamed("node", "src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            lower = colour.join(unsent(near), "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("low"))
             # What reaches the node of one's colour reaches oneself.
-            jump = lower.join(colour.select(F.col("node").alias("low"), F.col("colour").alias("lower")), "low").select("node", "old", F.least("low", "lower").alias("colour"))
+            jump = lower.join(unsent(colour.select(F.col("node").alias("low"), F.col("colour").alias("lower"))), "low").select("node", "old", F.least("low", "lower").alias("colour"))
             after = saved(jump)
             forget(colour)
             colour = after.select("node", "colour")
             if after.where("old <> colour").isEmpty():
                 break
-        inner = saved(left.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("own")), "dst").where("colour = own").select("src", "dst", "colour"))
+        inner = saved(left.join(unsent(colour.select(F.col("node").alias("src"), "colour")), "src").join(unsent(colour.select(F.col("node").alias("dst"), F.col("colour").alias("own"))), "dst").where("colour = own").select("src", "dst", "colour"))
         member = saved(colour.where("node = colour"))
         frontier = member
         while True:
-            before = inner.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(member.select("node"), "node", "left_anti")
+            before = inner.join(unsent(frontier.select(F.col("node").alias("dst"))), "dst").select(F.col("src").alias("node"), "colour").distinct().join(unsent(member.select("node")), "node", "left_anti")
             frontier = saved(before)
             if frontier.isEmpty():
                 break
             member = saved(member.unionByName(frontier))
         found = saved(found.unionByName(member.select("node", F.col("colour").alias("component"))))
-        open_ = left.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti")
+        open_ = left.join(unsent(member.select(F.col("node").alias("src"))), "src", "left_anti").join(unsent(member.select(F.col("node").alias("dst"))), "dst", "left_anti")
         left = ends_trimmed(open_.select("src", "dst"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    return found.join(sizes, "component").select("node", "component", "size")
+    return found.join(unsent(sizes), "component").select("node", "component", "size")
 
 
 def shortest_depths(roots: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -164,7 +164,7 @@ def labelled_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
     steps = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.coalesce("label", F.lit("")).alias("step")))
     reached = frontier = saved(roots.select("node", F.coalesce("label", F.lit("")).alias("label"), F.array("node").alias("past")))
     while True:
-        further = frontier.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("past", F.col("dst")))
+        further = frontier.join(unsent(steps), F.col("node") == F.col("src")).where(~F.array_contains("past", F.col("dst")))
         frontier = saved(further.select(F.col("dst").alias("node"), F.concat("label", "step").alias("label"), F.concat("past", F.array("dst")).alias("past")))
         if frontier.isEmpty():
             break

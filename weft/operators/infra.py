@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weft.operators.code_facts import image_parts
 from weft.operators.graph import labelled_paths
 from weft.operators.source_code import tokens
-from weft.operators.tables import saved
+from weft.operators.tables import dealt, saved, unsent
 
 KEY = r"^([\w./-]+|\"[^\"]*\"|'[^']*')\s*:(?:\s+(.*))?$"
 #: Kinds of rows by the keys of compose files and by the kinds of manifests; where a manifest has its pod.
@@ -38,7 +38,7 @@ def yaml_paths(files: DataFrame) -> DataFrame:
     ``path`` has the keys from the top, each with a dot before it, and [] for a list item; a document ends at a line of three
     dashes. Values lose their quotes and comments; flow lists and block texts are kept as they are written. Blank and comment lines give no rows.
     """
-    lines = files.where("text IS NOT NULL").select("file", F.posexplode(F.split("text", "\r?\n")).alias("at", "raw"))
+    lines = dealt(files.where("text IS NOT NULL").select("file", "text")).select("file", F.posexplode(F.split("text", "\r?\n")).alias("at", "raw"))
     doc = F.count_if(F.col("raw").rlike(r"^---(?:\s|$)")).over(Window.partitionBy("file").orderBy("at"))
     lines = lines.select("file", doc.cast("int").alias("doc"), (F.col("at") + 1).cast("int").alias("line"), F.regexp_replace("raw", r"(?:^|\s)#.*$", "").alias("raw")).where(~F.col("raw").rlike(r"^\s*$|^---|^\.\.\.|^\s*%"))
     indent = F.length(F.regexp_extract("raw", "^ *", 0))
@@ -65,7 +65,7 @@ def yaml_paths(files: DataFrame) -> DataFrame:
     tops = found.where("parent IS NULL").select(named_node("node").alias("node"), label.alias("label"))
     edges = found.where("parent IS NOT NULL").select(named_node("parent").alias("src"), named_node("node").alias("dst"), label.alias("label"))
     paths = labelled_paths(tops, edges).withColumnRenamed("label", "path").withColumnRenamed("node", "id")
-    return found.withColumn("id", named_node("node")).join(paths, "id").select("file", "doc", "node", "parent", "line", "path", "key", "value")
+    return found.withColumn("id", named_node("node")).join(unsent(paths), "id").select("file", "doc", "node", "parent", "line", "path", "key", "value")
 
 
 def _row(df: DataFrame, **given) -> DataFrame:
@@ -83,7 +83,7 @@ def _listed(rows: DataFrame, pattern: str, group: int, value, keys: tuple[str, .
 def compose_rows(paths: DataFrame) -> DataFrame:
     """Rows of compose files: services with image, ports (of the container), replicas and names of variables; volumes, networks, secrets and configs by name."""
     rows = paths.where(F.col("file").rlike(r"(?i)(?:^|/)(?:docker-)?compose(?:[.-][\w.-]{0,60})?\.ya?ml$"))
-    rows = rows.join(rows.where("path = '.services'").select("file").distinct(), "file", "left_semi")
+    rows = rows.join(unsent(rows.where("path = '.services'").select("file").distinct()), "file", "left_semi")
     top = rows.where(F.col("path").rlike(r"^\.(?:services|volumes|networks|secrets|configs)\.[^.]+$") & (F.col("key") != "<<")).withColumn("group", F.regexp_extract("path", r"^\.(\w+)\.", 1))
     table = F.create_map(*[F.lit(x) for k, (kind, kind_type) in COMPOSE.items() for x in (k, f"{kind} {kind_type}")])
     top = top.withColumn("told", F.split(F.element_at(table, F.col("group")), " ")).select("file", F.col("key").alias("name"), "line", "group", F.col("told")[0].alias("kind"), F.col("told")[1].alias("type"))
@@ -93,9 +93,9 @@ def compose_rows(paths: DataFrame) -> DataFrame:
     ports = _listed(rows, r"^\.services\.([^.]+)\.ports\.(?:\[\]|\[\]\.target)$", 1, F.nullif(port, F.lit("")), keys).withColumnRenamed("found", "ports")
     names = F.when(F.col("key") == "[]", F.regexp_extract("value", r"^\s*([A-Za-z_]\w*)", 1)).otherwise(F.col("key"))
     variables = _listed(rows, r"^\.services\.([^.]+)\.environment\.[^.]+$", 1, names, keys).withColumnRenamed("found", "variables")
-    met = top.join(one("image", "ref"), ["file", "group", "name"], "left").join(one(r"deploy\.replicas", "replicas"), ["file", "group", "name"], "left")
+    met = top.join(unsent(one("image", "ref")), ["file", "group", "name"], "left").join(unsent(one(r"deploy\.replicas", "replicas")), ["file", "group", "name"], "left")
     served = lambda c: F.when(F.col("group") == "services", F.coalesce(c, F.array().cast("array<string>")))
-    met = met.join(ports, list(keys), "left").join(variables, list(keys), "left")
+    met = met.join(unsent(ports), list(keys), "left").join(unsent(variables), list(keys), "left")
     image, tag = image_parts(F.col("ref"))
     return _row(met, kind=F.col("kind"), type=F.col("type"), name=F.col("name"), file=F.col("file"), line=F.col("line"), image=image, tag=tag, ports=served("ports"), replicas=F.col("replicas"), variables=served("variables"))
 
@@ -104,24 +104,24 @@ def kubernetes_rows(paths: DataFrame) -> DataFrame:
     """Rows of manifests: workloads and jobs with replicas, an image for each container with its ports and names of variables, services, ingresses, configs and secrets by name."""
     rows = paths.where(F.col("file").rlike(r"(?i)\.ya?ml$"))
     at = lambda path, name: rows.where(F.col("path") == path).groupBy("file", "doc").agg(F.min_by("value", "line").alias(name), F.min("line").alias(f"{name}_line"))
-    docs = at(".apiVersion", "api").join(at(".kind", "type"), ["file", "doc"]).join(at(".metadata.name", "name"), ["file", "doc"], "left").join(at(".spec.replicas", "replicas").drop("replicas_line"), ["file", "doc"], "left")
+    docs = at(".apiVersion", "api").join(unsent(at(".kind", "type")), ["file", "doc"]).join(unsent(at(".metadata.name", "name")), ["file", "doc"], "left").join(unsent(at(".spec.replicas", "replicas").drop("replicas_line")), ["file", "doc"], "left")
     table = F.create_map(*[F.lit(x) for kind, types in MANIFESTS.items() for t in types.split() for x in (t, kind)])
     docs = saved(docs.withColumn("kind", F.try_element_at(table, F.col("type"))).where("kind IS NOT NULL"))
     objects = _row(docs, kind=F.col("kind"), type=F.col("type"), name=F.col("name"), file=F.col("file"), line=F.col("type_line"), replicas=F.when(F.col("kind") == "workload", F.col("replicas")))
     # Containers are list items: their name, image, ports and variables have the item, or one of its keys, as parent.
     item = rows.where(F.col("path").rlike(r"\.(?:containers|initContainers)\.\[\]$")).select("file", "doc", F.col("node").alias("item"))
-    item = item.join(docs.where("kind IN ('workload', 'job')").select("file", "doc"), ["file", "doc"], "left_semi")
+    item = item.join(unsent(docs.where("kind IN ('workload', 'job')").select("file", "doc")), ["file", "doc"], "left_semi")
     keys = rows.select("file", "doc", "node", F.col("parent").alias("item"), "line", F.col("key").alias("field"), "value")
-    own = saved(item.join(keys, ["file", "doc", "item"]))
+    own = saved(item.join(unsent(keys), ["file", "doc", "item"]))
     value = lambda field, name: own.where(F.col("field") == field).select("file", "doc", "item", F.col("value").alias(name), F.col("line").alias(f"{name}_line"))
     below = rows.select("file", "doc", F.col("node").alias("entry"), F.col("parent").alias("node"))
-    entries = own.where("field IN ('ports', 'env')").select("file", "doc", "item", "node", "field").join(below, ["file", "doc", "node"])
+    entries = own.where("field IN ('ports', 'env')").select("file", "doc", "item", "node", "field").join(unsent(below), ["file", "doc", "node"])
     leaves = rows.where("key IN ('containerPort', 'name')").select("file", "doc", F.col("parent").alias("entry"), "key", F.col("value").alias("v"))
-    held = entries.join(leaves, ["file", "doc", "entry"]).groupBy("file", "doc", "item").agg(
+    held = entries.join(unsent(leaves), ["file", "doc", "entry"]).groupBy("file", "doc", "item").agg(
         F.array_sort(F.collect_set(F.when((F.col("field") == "ports") & (F.col("key") == "containerPort"), F.col("v")))).alias("ports"), F.array_sort(F.collect_set(F.when((F.col("field") == "env") & (F.col("key") == "name"), F.col("v")))).alias("variables")
     )
     none = F.array().cast("array<string>")
-    images = value("image", "ref").join(value("name", "name").drop("name_line"), ["file", "doc", "item"], "left").join(held, ["file", "doc", "item"], "left")
+    images = value("image", "ref").join(unsent(value("name", "name").drop("name_line")), ["file", "doc", "item"], "left").join(unsent(held), ["file", "doc", "item"], "left")
     image, tag = image_parts(F.col("ref"))
     containers = _row(images, kind=F.lit("image"), type=F.lit("container"), name=F.col("name"), file=F.col("file"), line=F.col("ref_line"), image=image, tag=tag, ports=F.coalesce("ports", none), variables=F.coalesce("variables", none))
     return objects.unionByName(containers)
@@ -129,11 +129,15 @@ def kubernetes_rows(paths: DataFrame) -> DataFrame:
 
 def terraform_rows(files: DataFrame) -> DataFrame:
     """Rows of .tf files: resources and data sources, modules with the names of their inputs, providers, variables and outputs at the top level."""
-    found = saved(tokens(files.where(F.col("file").rlike(r"\.tf$")), "hash").where("kind <> 'comment'"))
+    found = tokens(files.where(F.col("file").rlike(r"\.tf$")), "hash").where("kind <> 'comment'")
     order = Window.partitionBy("file").orderBy("i")
     ahead = lambda k: F.struct(F.lead("kind", k).over(order).alias("kind"), F.lead("token", k).over(order).alias("token"), F.lead("i", k).over(order).alias("i"))
     word = F.regexp_extract("token", rf"(?:^|\n)\s*({'|'.join(BLOCKS)})\s+$", 1)
-    heads = found.select("*", *[ahead(k).alias(f"t{k}") for k in range(1, 5)]).where((F.col("level") == 0) & (F.col("kind") == "code")).withColumn("word", word).where("word <> '' AND t1.kind = 'string'")
+    # What follows is looked up before the tokens are written, while each file is in one task, and kept behind a block's first word.
+    first_word = F.when((F.col("level") == 0) & (F.col("kind") == "code"), F.nullif(word, F.lit("")))
+    found = found.select("*", first_word.alias("word"), *[ahead(k).alias(f"t{k}") for k in range(1, 5)])
+    found = saved(found.select("file", "kind", "token", "line", "parent", "word", F.when(F.col("word").isNotNull(), F.struct("t1", "t2", "t3", "t4")).alias("t")))
+    heads = found.where("word IS NOT NULL AND t.t1.kind = 'string'").select("*", "t.*")
     heads = heads.withColumn("line", (F.col("line") + F.length("token") - F.length(F.translate("token", "\n", ""))).cast("int"))
     first, second = F.trim("t1.token", F.lit('"')), F.when(F.col("t3.kind") == "string", F.trim("t3.token", F.lit('"')))
     two = F.col("word").isin("resource", "data")
@@ -145,7 +149,7 @@ def terraform_rows(files: DataFrame) -> DataFrame:
     )
     inside = found.where("kind IN ('code')").select("file", F.col("parent").alias("call"), F.explode(F.regexp_extract_all("token", F.lit(r"(?m)(?:^|\n)[ \t]*([A-Za-z_][\w-]*)[ \t]*=(?!=)"), F.lit(1))).alias("input"))
     inputs = inside.where(~F.col("input").isin("source", "version", "providers", "count", "for_each", "depends_on")).groupBy("file", "call").agg(F.array_sort(F.collect_set("input")).alias("variables"))
-    rows = rows.join(inputs, ["file", "call"], "left")
+    rows = rows.join(unsent(inputs), ["file", "call"], "left")
     return _row(rows, kind=F.col("kind"), type=F.col("type"), name=F.col("name"), file=F.col("file"), line=F.col("line"), variables=F.when(F.col("word") == "module", F.coalesce("variables", F.array().cast("array<string>"))))
 
 
