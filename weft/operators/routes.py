@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.graph import labelled_paths
 from weft.operators.source_code import arguments, calls, tokens
-from weft.operators.tables import saved
+from weft.operators.tables import dealt, saved, unsent
 
 #: Methods of decorators, of Spring's annotations and of Rails' routes.
 DECORATORS = "get|post|put|patch|delete|head|options|websocket"
@@ -39,9 +39,9 @@ def _argument(args: DataFrame, key: str | None = None, n: int | None = None) ->
 def _composed(endpoints: DataFrame, declared: DataFrame, edges: DataFrame) -> DataFrame:
     """Endpoints (node, …) with ``label`` for every path to their node. Nodes that nothing includes are roots; ``declared``: node, label."""
     nodes = declared.unionByName(endpoints.select("node", F.lit("").alias("label"))).groupBy("node").agg(F.max("label").alias("label"))
-    own = edges.join(nodes.select(F.col("node").alias("dst"), F.col("label").alias("own")), "dst").select("src", "dst", F.concat("label", F.lit("/"), "own").alias("label"))
-    roots = nodes.join(own.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    return endpoints.join(labelled_paths(roots, own), "node")
+    own = edges.join(unsent(nodes.select(F.col("node").alias("dst"), F.col("label").alias("own"))), "dst").select("src", "dst", F.concat("label", F.lit("/"), "own").alias("label"))
+    roots = nodes.join(unsent(own.select(F.col("dst").alias("node")).distinct()), "node", "left_anti")
+    return endpoints.join(unsent(labelled_paths(roots, own)), "node")
 
 
 def fastapi_routes(files: DataFrame) -> DataFrame:
@@ -54,20 +54,20 @@ def fastapi_routes(files: DataFrame) -> DataFrame:
     every, args = saved(calls(found)), saved(arguments(found))
     prefix = _argument(args, key="prefix").select("file", "call", F.col("value").alias("prefix"))
     routers = every.where(F.col("name").rlike(r"(?:^|\.)(?:APIRouter|FastAPI)$")).withColumn("var", F.regexp_extract("head", r"(\w+)\s*(?::\s*[\w.]+\s*)?=\s*(?:\w+\.)?(?:APIRouter|FastAPI)\s*$", 1)).where("var <> ''")
-    declared = saved(routers.join(prefix, ["file", "call"], "left").select("file", "var", F.coalesce("prefix", F.lit("")).alias("label")).distinct())
+    declared = saved(routers.join(unsent(prefix), ["file", "call"], "left").select("file", "var", F.coalesce("prefix", F.lit("")).alias("label")).distinct())
     module = F.regexp_extract("file", r"([^/]+?)(?:/__init__)?\.py$", 1)
     named = declared.select("file", "var", module.alias("module"))
     only = lambda rows, *k: rows.groupBy(*k).agg(F.min("file").alias("to"), F.count_distinct("file").alias("files")).where("files = 1").drop("files")
     mounts = every.where(F.col("name").rlike(r"\.include_router$")).withColumn("owner", F.regexp_extract("name", r"(\w+)\.include_router$", 1))
     target = _argument(args, n=0).select("file", "call", F.regexp_extract("text", r"(?:^|\.)(\w+)\.\w+$", 1).alias("module"), F.regexp_extract("text", r"(\w+)$", 1).alias("var"))
-    mounts = mounts.join(target, ["file", "call"]).join(prefix, ["file", "call"], "left").select("file", "owner", "module", "var", F.coalesce("prefix", F.lit("")).alias("label"))
+    mounts = mounts.join(unsent(target), ["file", "call"]).join(unsent(prefix), ["file", "call"], "left").select("file", "owner", "module", "var", F.coalesce("prefix", F.lit("")).alias("label"))
     bare, dotted = mounts.where("module = ''").drop("module"), mounts.where("module <> ''")
-    here = bare.join(named.select("file", "var"), ["file", "var"], "left_semi").withColumn("to", F.col("file"))
-    there = bare.join(named.select("file", "var"), ["file", "var"], "left_anti").join(only(named, "var"), "var")
-    other = dotted.join(only(named, "module", "var"), ["module", "var"])
+    here = bare.join(unsent(named.select("file", "var")), ["file", "var"], "left_semi").withColumn("to", F.col("file"))
+    there = bare.join(unsent(named.select("file", "var")), ["file", "var"], "left_anti").join(unsent(only(named, "var")), "var")
+    other = dotted.join(unsent(only(named, "module", "var")), ["module", "var"])
     edges = here.unionByName(there.select(here.columns)).unionByName(other.select(here.columns)).select(_node("file", "owner").alias("src"), _node("to", "var").alias("dst"), "label")
     path = _argument(args, n=0).select("file", "call", F.coalesce("value", F.lit("")).alias("path"))
-    ends = every.where(F.col("name").rlike(rf"^@\w+\.(?:{DECORATORS})$")).join(path, ["file", "call"])
+    ends = every.where(F.col("name").rlike(rf"^@\w+\.(?:{DECORATORS})$")).join(unsent(path), ["file", "call"])
     verb = F.regexp_extract("name", r"\.(\w+)$", 1)
     ends = ends.select(_node("file", F.regexp_extract("name", r"@(\w+)\.", 1)).alias("node"), F.when(verb == "websocket", "WS").otherwise(F.upper(verb)).alias("method"), "path", "file", "line")
     composed = _composed(ends, declared.select(_node("file", "var").alias("node"), "label"), edges)
@@ -86,15 +86,15 @@ def django_routes(files: DataFrame) -> DataFrame:
     first = _argument(args, n=0).select("file", "call", F.col("value").alias("pattern"))
     # An included module is written as "a.b.urls", alone or first in a tuple.
     tuples = found.where("kind = 'open' AND token = '(' AND n = 0 AND head IS NULL").select("file", F.col("parent").alias("call"), F.col("i").alias("inner"))
-    paired = tuples.join(first.where("pattern IS NOT NULL").withColumnRenamed("call", "inner"), ["file", "inner"]).select("file", "call", "pattern")
-    inner = every.where("name = 'include'").join(first.where("pattern IS NOT NULL").unionByName(paired), ["file", "call"]).select("file", F.col("parent").alias("call"), F.concat(F.lit("/"), F.translate("pattern", ".", "/"), F.lit(".py")).alias("module"))
-    entries = every.where("name <> 'include'").join(first, ["file", "call"]).where("pattern IS NOT NULL").withColumn("pattern", F.regexp_replace("pattern", r"^\^|\$$", ""))
+    paired = tuples.join(unsent(first.where("pattern IS NOT NULL").withColumnRenamed("call", "inner")), ["file", "inner"]).select("file", "call", "pattern")
+    inner = every.where("name = 'include'").join(unsent(first.where("pattern IS NOT NULL").unionByName(paired)), ["file", "call"]).select("file", F.col("parent").alias("call"), F.concat(F.lit("/"), F.translate("pattern", ".", "/"), F.lit(".py")).alias("module"))
+    entries = every.where("name <> 'include'").join(unsent(first), ["file", "call"]).where("pattern IS NOT NULL").withColumn("pattern", F.regexp_replace("pattern", r"^\^|\$$", ""))
     # Every ending of a file's path is a name that it may be included by.
     folders = F.split(F.concat(F.lit("/"), "file"), "/")
     endings = files.select("file", F.explode(F.sequence(F.lit(1), F.size(folders) - 1)).alias("k"), folders.alias("p")).select(F.col("file").alias("to"), F.concat(F.lit("/"), F.array_join(F.slice("p", F.size("p") - F.col("k") + 1, F.col("k")), "/")).alias("module"))
     nearest = endings.groupBy("module").agg(F.min_by("to", F.struct(F.length("to"), "to")).alias("to"))
-    edges = entries.join(inner, ["file", "call"]).join(nearest, "module").select(F.col("file").alias("src"), F.col("to").alias("dst"), F.col("pattern").alias("label"))
-    ends = entries.join(inner.select("file", "call"), ["file", "call"], "left_anti").select(F.col("file").alias("node"), F.lit("ANY").alias("method"), F.col("pattern").alias("path"), "file", "line")
+    edges = entries.join(unsent(inner), ["file", "call"]).join(unsent(nearest), "module").select(F.col("file").alias("src"), F.col("to").alias("dst"), F.col("pattern").alias("label"))
+    ends = entries.join(unsent(inner.select("file", "call")), ["file", "call"], "left_anti").select(F.col("file").alias("node"), F.lit("ANY").alias("method"), F.col("pattern").alias("path"), "file", "line")
     roots = entries.select(F.col("file").alias("node"), F.lit("").alias("label")).distinct()
     return _composed(ends, roots, edges).select("method", joined_route(F.col("label"), F.col("path")).alias("route"), "file", "line").distinct()
 
@@ -105,23 +105,22 @@ def spring_routes(files: DataFrame) -> DataFrame:
     A class takes the mapping that stands between the end before it and its brace; nested classes don't take that of the
     class around them. Several paths, of a class or of a method, are a route each; without ``method`` a request mapping answers ANY.
     """
-    found = saved(tokens(files, "brace"))
     level = Window.partitionBy("file", "level", F.coalesce("parent", F.lit(-1))).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     # The next brace of the same level tells whether an annotation belongs to a class or to a member; a field ends before it.
     ends = F.when((F.col("token") == "{"), F.struct("i", "head")).when((F.col("kind") == "code") & F.contains("token", F.lit(";")), F.struct(F.lit(-1).alias("i"), F.lit("").alias("head")))
-    marked = found.select("*", F.last(ends, True).over(level).alias("next"))
+    found = saved(tokens(files, "brace").select("*", F.last(ends, True).over(level).alias("next")))
     is_class = F.coalesce(F.col("next.head").rlike(r"\b(?:class|interface|record)\s+\w+"), F.lit(False))
-    a_call = marked.where(F.col("head").rlike(rf"@(?:{MAPPINGS})Mapping\s*$") & (F.col("token") == "(")).select("file", F.col("i").alias("call"), F.regexp_extract("head", rf"@({MAPPINGS})Mapping\s*$", 1).alias("kind"), "line", "parent", is_class.alias("on_class"), F.col("next.i").alias("next"))
+    a_call = found.where(F.col("head").rlike(rf"@(?:{MAPPINGS})Mapping\s*$") & (F.col("token") == "(")).select("file", F.col("i").alias("call"), F.regexp_extract("head", rf"@({MAPPINGS})Mapping\s*$", 1).alias("kind"), "line", "parent", is_class.alias("on_class"), F.col("next.i").alias("next"))
     a_call = saved(a_call)
-    args = arguments(found.join(a_call.select("file", F.col("call").alias("parent")), ["file", "parent"], "left_semi").unionByName(found.where("kind = 'string' AND parent IS NOT NULL")).distinct())
+    args = arguments(found.join(unsent(a_call.select("file", F.col("call").alias("parent"))), ["file", "parent"], "left_semi"))
     given = args.where("key IS NULL OR key IN ('value', 'path')")
     # One path, or those of a list in braces, whose strings sit one bracket further in.
     lists = found.where("kind = 'open' AND token IN ('{', '[', '(')").select("file", F.col("parent").alias("call"), F.col("i").alias("inner"))
     strings = found.where("kind = 'string'").select("file", F.col("parent").alias("inner"), F.expr("substring(token, 2, length(token) - 2)").alias("value"))
-    listed = a_call.select("file", "call").join(lists, ["file", "call"]).join(strings, ["file", "inner"]).select("file", "call", "value")
+    listed = a_call.select("file", "call").join(unsent(lists), ["file", "call"]).join(unsent(strings), ["file", "inner"]).select("file", "call", "value")
     paths = given.where("value IS NOT NULL").select("file", "call", "value").unionByName(listed).distinct()
     verbs = args.where("key = 'method'").select("file", "call", F.regexp_extract("text", r"(?:RequestMethod\.)?(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|TRACE)\b", 1).alias("verb"))
-    known = a_call.join(paths, ["file", "call"], "left").join(verbs, ["file", "call"], "left").select("file", "line", "kind", "parent", "on_class", "next", F.coalesce("value", F.lit("")).alias("path"), "verb")
+    known = a_call.join(unsent(paths), ["file", "call"], "left").join(unsent(verbs), ["file", "call"], "left").select("file", "line", "kind", "parent", "on_class", "next", F.coalesce("value", F.lit("")).alias("path"), "verb")
     # An annotation without parentheses ends where its method's name begins.
     bare = found.where(F.col("kind") == "code").select("file", "line", "parent", "token").where(F.col("token").rlike(rf"@(?:{MAPPINGS})Mapping\s+[^\s(]"))
     bare = bare.select("file", F.explode(F.regexp_extract_all("token", F.lit(rf"(?s)^(.*)@(?:{MAPPINGS})Mapping\s+[^\s(]"), F.lit(1))).alias("above"), "line", "parent", "token")
@@ -129,7 +128,7 @@ def spring_routes(files: DataFrame) -> DataFrame:
     members = known.where("NOT on_class").drop("on_class", "next").unionByName(bare.select("*", F.lit("").alias("path"), F.lit(None).cast("string").alias("verb")))
     classes = known.where("on_class").select("file", F.col("next").alias("parent"), F.col("path").alias("label"))
     bodies = found.where("token = '{'").where(F.col("head").rlike(r"\bclass\s+\w+")).select("file", F.col("i").alias("parent"))
-    routes = members.join(bodies, ["file", "parent"]).join(classes, ["file", "parent"], "left")
+    routes = members.join(unsent(bodies), ["file", "parent"]).join(unsent(classes), ["file", "parent"], "left")
     method = F.when(F.col("kind") != "Request", F.upper("kind")).otherwise(F.coalesce(F.nullif("verb", F.lit("")), F.lit("ANY")))
     route = F.regexp_replace(joined_route(F.coalesce("label", F.lit("")), F.col("path")), "(.)/$", "$1")
     return routes.select(method.alias("method"), route.alias("route"), "file", "line").distinct()
@@ -141,7 +140,7 @@ def rails_routes(files: DataFrame) -> DataFrame:
     Blocks are lines that end in ``do`` up to their ``end``. ``only`` and ``except`` choose among the actions of resources; member and
     collection blocks add to the member's and to the collection's path. Comment lines are none.
     """
-    lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("i", "l")).select("file", "i", F.trim(F.regexp_replace("l", r"(?<![\"'\w])#.*$", "")).alias("l"))
+    lines = dealt(files.select("file", "text")).select("file", F.posexplode(F.split("text", "\r?\n")).alias("i", "l")).select("file", "i", F.trim(F.regexp_replace("l", r"(?<![\"'\w])#.*$", "")).alias("l"))
     opens, closes = F.col("l").rlike(r"\bdo(?:\s*\|[^|]*\|)?$|^(?:if|unless|case|begin|def|class|module)\b"), F.col("l") == "end"
     before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     depth = F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before), F.lit(0))
@@ -166,10 +165,10 @@ def rails_routes(files: DataFrame) -> DataFrame:
     edges = rows.where("parent IS NOT NULL").select(_node("file", F.col("parent").cast("string")).alias("src"), _node("file", F.col("i").cast("string")).alias("dst"), label.alias("label"))
     tops = rows.where("parent IS NULL").select(_node("file", F.col("i").cast("string")).alias("node"), label.alias("label"))
     # The path above a line is that of the block around it; member and collection are blocks that change the last part.
-    above = labelled_paths(tops, edges.join(rows.select(_node("file", F.col("parent").cast("string")).alias("src")).distinct(), "src", "left_semi"))
+    above = labelled_paths(tops, edges.join(unsent(rows.select(_node("file", F.col("parent").cast("string")).alias("src")).distinct()), "src", "left_semi"))
     blocks = rows.select("file", F.col("i").alias("parent"), F.col("word").alias("block"), F.col("parent").alias("outer"), F.col("key").alias("block_key"))
     outer = rows.select("file", F.col("i").alias("outer"), F.col("key").alias("outer_key"), F.col("word").alias("outer_word"))
-    at = rows.join(blocks, ["file", "parent"], "left").join(outer, ["file", "outer"], "left").withColumn("node", _node("file", F.col("parent").cast("string"))).join(above, "node", "left")
+    at = rows.join(unsent(blocks), ["file", "parent"], "left").join(unsent(outer), ["file", "outer"], "left").withColumn("node", _node("file", F.col("parent").cast("string"))).join(unsent(above), "node", "left")
     base = F.coalesce("label", F.lit(""))
     collected = F.regexp_replace(base, r"/:\w+$", "")
     on = F.when(F.col("block") == "resources", F.regexp_extract("l", r"\bon:\s*:(member|collection)\b", 1))
