@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.source_code import COMMENTS, STRINGS, STYLES
+from weft.operators.tables import dealt, unsent
 
 #: What may be added to a path, best first; a .js specifier of TypeScript means the .ts file beside it.
 ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".vue", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs")
@@ -57,6 +58,7 @@ def resolved_imports(files: DataFrame, aliases: DataFrame | None = None) -> Data
     What no file answers is left out, a file's import of itself too. Null texts import nothing.
     """
     known = files.select(F.col("file").alias("dst"))
+    files = dealt(files.select("file", "text"))
     scripts = files.where(F.col("file").rlike(SCRIPTS)).select(F.col("file").alias("src"), F.explode(script_specifiers(F.col("text"))).alias("spec"))
     bases = scripts.where(F.col("spec").rlike(r"^\.{1,2}(?:/|$)")).select("src", F.concat(_folder("src"), "spec").alias("base"))
     if aliases is not None:
@@ -80,5 +82,5 @@ def resolved_imports(files: DataFrame, aliases: DataFrame | None = None) -> Data
     python = placed.select("src", F.concat_ws(" ", "module", "name").alias("key"), "far", F.posexplode(F.concat(inner, own)).alias("rank", "dst"))
     python = python.select("src", "key", (F.col("far") * 4 + F.col("rank")).cast("int").alias("rank"), F.ltrim(F.col("dst"), F.lit("/")).alias("dst"))
 
-    found = tried.unionByName(python).join(known, "dst", "left_semi").groupBy("src", "key").agg(F.min_by("dst", "rank").alias("dst"))
+    found = tried.unionByName(python).join(unsent(known), "dst", "left_semi").groupBy("src", "key").agg(F.min_by("dst", "rank").alias("dst"))
     return found.where("src <> dst").select("src", "dst").distinct()
