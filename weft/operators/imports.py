@@ -62,7 +62,7 @@ def resolved_imports(files: DataFrame, aliases: DataFrame | None = None) -> Data
     scripts = files.where(F.col("file").rlike(SCRIPTS)).select(F.col("file").alias("src"), F.explode(script_specifiers(F.col("text"))).alias("spec"))
     bases = scripts.where(F.col("spec").rlike(r"^\.{1,2}(?:/|$)")).select("src", F.concat(_folder("src"), "spec").alias("base"))
     if aliases is not None:
-        named = scripts.withColumn("prefix", F.regexp_extract("spec", "^[^/.][^/]*/|^/", 0)).join(aliases, "prefix")
+        named = scripts.withColumn("prefix", F.regexp_extract("spec", "^[^/.][^/]*/|^/", 0)).join(unsent(aliases), "prefix")
         bases = bases.unionByName(named.select("src", F.concat("target", F.lit("/"), F.substr("spec", F.length("prefix") + 1)).alias("base")))
     base = normal_path(F.col("base"))
     typed = F.when(F.col("base").rlike(r"\.[cm]?jsx?$"), F.array(F.regexp_replace("base", r"\.([cm]?)js(x?)$", ".$1ts$2"))).otherwise(F.array().cast("array<string>"))
