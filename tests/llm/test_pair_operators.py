@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,36 @@ def test_bin_counts_bound_the_overlap(spark):
         a, b = both[:n], both[n - shared_ :]
         found = next(iter(ngram_join.most_common.func(iter([(pd.Series([ngram_join.bin_counts(a)]), pd.Series([ngram_join.bin_counts(b)]))]))))
         assert found["common"][0] >= shared_ and found["both"][0] == n + m
+
+
+def test_copies_are_not_indexed(spark, monkeypatch):
+    """Keys of exact copies would all be shared, and a table of many copies would index every one of them."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    df = spark.createDataFrame([(10 * i + k, t) for i in range(20) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    found, keep = {}, ngram_join.stash
+
+    def kept(rows, name):
+        table = keep(rows, name)
+        found[name] = table.count()
+        return table
+
+    monkeypatch.setattr(ngram_join, "stash", kept)
+    assert {(r.doc_id % 10, r.component_id) for r in ngram_join.jaccard_links(df).collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert found["shared-keys"] == 3  # the sizes of the three sets
+
+
+def test_sketch_grows_with_the_documents():
+    assert [ngram_join.sketch_bits(n) for n in (0, 51_282, 256_410, 1 << 19, 3_000_000, 1 << 40)] == [19, 19, 19, 21, 22, 22]
+    wide = np.arange(300, dtype=np.int32)
+    added = ngram_join._added(300)((7,), pd.DataFrame({"data": [ngram_join.narrowed(wide), ngram_join.narrowed(wide % 9)]}))
+    assert np.frombuffer(added["data"][0], np.int32).tolist() == (wide + wide % 9).tolist()
+
+
+def test_shuffles_of_a_stash_leave_the_disk(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    dirs = env.blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in dirs for f in pathlib.Path(d).rglob("shuffle_*")}
+    before = files()
+    assert shared.stash(spark.range(5000).groupBy((F.col("id") % 97).alias("k")).count(), "test").count() == 97
+    left = {x for x in files() - before if x.endswith(".data")}
+    assert len(left) <= 2  # of the count itself, whose rows are one a task

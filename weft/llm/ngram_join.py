@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from weft.llm.shared import components, drop_stash, stash
 from weft.llm.word_hash import WordHashes, mixed, pair, run_hashes, signed
 
-#: Buckets of the frequency sketch are 2 to this power; it is the only thing about tokens that reaches the driver.
-SKETCH_BITS = 19
+#: Buckets of the frequency sketch are 2 to a power between these: two for each document. It is the only thing about tokens that reaches the driver.
+SKETCH_BITS = (19, 22)
 #: The sketch is summed in so many parts.
 SKETCH_PARTS = 64
 #: Parts are first summed over so many groups of tasks, so that no task gathers what all tasks have sent.
@@ -95,36 +95,52 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: in
     return np.concatenate(keys), np.concatenate(bounds), rare, most - rare
 
 
-def _measure(size: int):
-    parts = (1 << SKETCH_BITS) // SKETCH_PARTS
+def _measure(size: int, bits: int):
+    parts = (1 << bits) // SKETCH_PARTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32)
+        memo, sketch = WordHashes(), np.zeros(1 << bits, np.int32)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
                 tokens = shingle_set(memo, text, size)
-                sketch[bucket_of(tokens)] += 1
+                sketch[bucket_of(tokens, bits)] += 1
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 out.append((len(tokens), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
             found = pd.DataFrame(out, columns=["n", "s1", "s2"])
             yield found.assign(id=pdf["id"].to_numpy(), part=-1, counts=None)[["id", "n", "s1", "s2", "part", "counts"]]
         filled = [i for i in range(SKETCH_PARTS) if sketch[i * parts : (i + 1) * parts].any()]
-        yield pd.DataFrame({"id": None, "n": task_group(), "s1": 0, "s2": 0, "part": filled, "counts": [sketch[i * parts : (i + 1) * parts].tobytes() for i in filled]})
+        yield pd.DataFrame({"id": None, "n": task_group(), "s1": 0, "s2": 0, "part": filled, "counts": [narrowed(sketch[i * parts : (i + 1) * parts]) for i in filled]})
 
     return run
 
 
-def bucket_of(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(documents: int) -> int:
+    """With a fixed number of buckets, tokens that more and more documents share would look as rare as any, and their buckets and pairs outgrow the input."""
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], documents.bit_length() + 1))
+
+
+def bucket_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(tokens) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def narrowed(counts: np.ndarray) -> bytes:
+    """Counts in bytes, or in wider numbers where one needs them."""
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.int32).tobytes()
 
 
 def task_group() -> int:
     return TaskContext.get().partitionId() % SUM_GROUPS
 
 
-def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": [key[0]], "data": [np.sum([np.frombuffer(x, np.int32) for x in rows["data"]], axis=0, dtype=np.int32).tobytes()]})
+def _added(size: int) -> Callable:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.int32)
+        for x in rows["data"]:
+            total += np.frombuffer(x, np.uint8 if len(x) == size else np.int32)
+        return pd.DataFrame({"part": [key[0]], "data": [total.tobytes()]})
+
+    return run
 
 
 def _united(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -146,6 +162,14 @@ def mark_places(ids: np.ndarray, size: int) -> list[np.ndarray]:
     return [(x % np.uint64(8 * size)).astype(np.int64) for x in (h, h >> np.uint64(32))]
 
 
+def is_marked(ids: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    """Which ids a bitmap of ``size`` bytes has."""
+    found = np.ones(len(ids), bool)
+    for at in mark_places(ids, size):
+        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def bin_counts(tokens: np.ndarray) -> bytes:
     """How many of a set's tokens fall in each of BINS bins, in bytes, or wider numbers where a bin needs them."""
     counts = np.bincount((mixed(tokens) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
@@ -192,7 +216,7 @@ def _differences(percent: int) -> Callable:
     return run
 
 
-def _written_as_differences(percent: int, shared) -> Callable:
+def _written_as_differences(percent: int, shared, bits: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Members by what they add to their hub, rarest first, and then by what they lack of it."""
         for pdf in batches:
@@ -201,7 +225,7 @@ def _written_as_differences(percent: int, shared) -> Callable:
                 core = np.setxor1d(core, fix) if fix is not None else np.asarray(core)
                 added = np.setdiff1d(own, core)
                 lacking = np.setdiff1d(core, own)
-                counts = shared.value[bucket_of(added.view(np.uint64))]
+                counts = shared.value[bucket_of(added.view(np.uint64), bits)]
                 added = added[np.lexsort((added, counts))]
                 n, common = len(own), len(own) - len(added)
                 least = -(-n * percent // 100)
@@ -229,23 +253,36 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
-    measured = stash(rows.mapInPandas(_measure(size), "id string, n long, s1 long, s2 long, part int, counts binary"), "measured")
+    bits = sketch_bits(docs.count())
+    measured = stash(rows.mapInPandas(_measure(size, bits), "id string, n long, s1 long, s2 long, part int, counts binary"), "measured")
     sets = measured.where("part < 0").select(F.col("id").cast("long").alias("id"), "n", "s1", "s2")
-    sketch = _gathered(measured.where("part >= 0").select("part", F.col("n").alias("group"), F.col("counts").alias("data")), _added, np.int32, (1 << SKETCH_BITS) // SKETCH_PARTS)
+    sketch = _gathered(measured.where("part >= 0").select("part", F.col("n").alias("group"), F.col("counts").alias("data")), _added((1 << bits) // SKETCH_PARTS), np.int32, (1 << bits) // SKETCH_PARTS)
     shared = spark.sparkContext.broadcast(sketch)
     limit = float(np.median(sketch)) + FREQUENT
 
+    def marks(ids: DataFrame) -> tuple:
+        """(broadcast bitmap of the distinct ids, its bytes): which ids they are reaches a scan in a fixed size; it may let others through."""
+        mark_bytes = min(MARK_BYTES[1], max(MARK_BYTES[0], 1 << (2 * ids.count()).bit_length()))
+        bitmap = _gathered(ids.mapInPandas(_mark(mark_bytes), "part int, group int, data binary"), _united, np.uint8, mark_bytes // SKETCH_PARTS)
+        return spark.sparkContext.broadcast(bitmap), mark_bytes
+
+    # Equal sets are one member: that of the smallest id. Rows that repeat an id stay together.
+    firsts = stash(sets.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first")), "firsts")
+    # Only members are indexed: keys of copies would all be shared. One that the bitmap lets through is one more member, compared like any other.
+    members_marked, members_bytes = marks(firsts.select(F.col("first").alias("id")).distinct())
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, counts = WordHashes(), shared.value
         for pdf in batches:
             seen, found = set(), []
+            pdf = pdf[is_marked(pdf["id"].to_numpy().astype(np.int64), members_marked.value, members_bytes)]
             for key, text in sorted(zip(pdf["id"].astype("int64"), pdf["text"]), key=lambda x: x[0]):
                 tokens = shingle_set(memo, text, size)
                 # Fewer tokens allow no link but between equal sets; equal sets of a batch are indexed once, by the smallest id.
                 if len(tokens) * (100 - percent) < percent or (digest := xxhash.xxh3_128_digest(tokens.tobytes())) in seen:
                     continue
                 seen.add(digest)
-                found.append((key, len(tokens), *index_keys(tokens, counts[bucket_of(tokens)], limit, percent)))
+                found.append((key, len(tokens), *index_keys(tokens, counts[bucket_of(tokens, bits)], limit, percent)))
             each = [len(x[2]) for x in found]
             joined = lambda i, kind: np.concatenate([np.zeros(0, kind), *[x[i] for x in found]])
             ids, sizes, rare = (np.array([x[i] for x in found], np.int64) for i in (0, 1, 4))
@@ -256,8 +293,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     indexed = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(index, "key long, id long, bound long")
     of_key = Window.partitionBy("key")
     other = F.max("id").over(of_key) != F.min("id").over(of_key)
-    # Equal sets are one member: that of the smallest id. Rows that repeat an id stay together.
-    firsts = stash(sets.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first")), "firsts")
     shared_keys = stash(indexed.withColumn("other", other).where("other OR bound < 0").drop("other"), "shared-keys")
     packed = -1 - F.col("bound")
     sizes = shared_keys.where("bound < 0").select("id", F.shiftright(packed, 31).cast("int").alias("n"), packed.bitwiseAND(0x7FFFFFFF).cast("int").alias("rare"))
@@ -270,8 +305,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         drop_stash(before)
         return kept
 
-    buckets = shared_keys.where("bound >= 0").join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("key", "id", "bound")
-    buckets = shared_only(buckets, shared_keys)
+    buckets = shared_only(shared_keys.where("bound >= 0"), shared_keys)
     # Partners share CLASSES + 1 tokens of their prefixes, small ones two; as many of them are rare as neither has frequent ones.
     need = F.when(F.col("n") > small_to(percent), CLASSES + 1).otherwise(2) - F.col("often")
     size_before = buckets.count()
@@ -280,15 +314,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         singles = buckets.groupBy("id").agg(F.count_if(F.col("bound") > 0).alias("singles"))
         enough = stash(singles.join(profiles, "id").where(F.col("singles") >= need).select("id").distinct(), "enough")
         buckets = shared_only(buckets.join(enough, "id").select("key", "id", "bound"), buckets)
+        drop_stash(enough)
         size_now = buckets.count()
         if size_now > 0.9 * size_before:
             break
         size_before = size_now
+    left = buckets
     buckets = buckets.join(profiles, "id")
 
     # The member with fewest tokens of its own is likeliest to be what the others were copied from.
     head = F.min(F.struct("rare", "id", "n", "often", "bound")).over(of_key)
     buckets = stash(buckets.withColumn("p", head).select(*buckets.columns, "p"), "buckets")
+    drop_stash(left)
+    drop_stash(profiles)
 
     def shared_enough(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, and n, often, bound of both, a row for each bucket) that meet in enough rare tokens and whose first one allows a link."""
@@ -300,20 +338,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         least = F.when(F.least("na", "nb") >= LARGE_FROM, CLASSES + 1 + F.greatest(F.lit(0), overlap)).otherwise(2) - F.least("oftena", "oftenb")
         return counted.where(F.col("fits") & (F.col("r") >= least)).select("a", "b")
 
-    # Sets of the documents that are left in buckets. Which those are reaches the scan as a
-    # bitmap of fixed size: it may let others through, which are sets that nobody asks for.
-    ids = buckets.select("id").distinct()
-    mark_bytes = min(MARK_BYTES[1], max(MARK_BYTES[0], 1 << (2 * ids.count()).bit_length()))
-    bitmap = _gathered(ids.mapInPandas(_mark(mark_bytes), "part int, group int, data binary"), _united, np.uint8, mark_bytes // SKETCH_PARTS)
-    marked = spark.sparkContext.broadcast(bitmap)
+    # Sets of the documents that are left in buckets. What the bitmap lets through besides are sets that nobody asks for.
+    marked, mark_bytes = marks(buckets.select("id").distinct())
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, bits = WordHashes(), marked.value
+        memo = WordHashes()
         for pdf in batches:
             ids = pdf["id"].to_numpy().astype(np.int64)
-            wanted = np.ones(len(ids), bool)
-            for at in mark_places(ids, mark_bytes):
-                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            wanted = is_marked(ids, marked.value, mark_bytes)
             found = [shingle_set(memo, t, size) for t in pdf["text"][wanted]]
             yield pd.DataFrame({"id": ids[wanted], "tokens": pd.Series([signed(x) for x in found], dtype=object), "bins": pd.Series([bin_counts(x) for x in found], dtype=object)})
 
@@ -382,7 +414,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         most = counted.where("token IS NULL").select("p", F.col("count").alias("near"))
         fixes = counted.where("token IS NOT NULL").join(most, "p").where("2 * count > near").groupBy("p").agg(F.collect_list("token").alias("fix"))
         schema = "p long, id long, c long, n int, size int, common int, added int, lacking int, near boolean, tokens array<long>"
-        written = sides.join(fixes, "p", "left").select("p", "id", "c", "own", "core", "fix").mapInPandas(_written_as_differences(percent, shared), schema)
+        written = sides.join(fixes, "p", "left").select("p", "id", "c", "own", "core", "fix").mapInPandas(_written_as_differences(percent, shared, bits), schema)
         weight = 100 * F.col("lacking") + percent * F.col("added")
         written = stash(written.withColumn("w", weight.cast("long")).withColumn("k", ((100 - percent) * F.col("size")).cast("long")), "written")
         least = written.groupBy("p").agg(F.min(F.struct("w", "id")).alias("q")).select("p", F.col("q.w").alias("wq"), F.col("q.id").alias("q"))
@@ -417,6 +449,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return members.drop("c").join(found, F.col("id") == F.col("node"), "left").drop("node").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     members = sized(with_components(buckets.drop("p")), ["key"])
+    drop_stash(buckets)
     edges = stash(edges.unionByName(verified(listed(members.where("NOT large")))), "edges")
     hubs = members.where("large").select("key", "id", "c", "rare")
     for turn in range(HUB_ROUNDS):

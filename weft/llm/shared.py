@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from weft.operators.graph import groups
-from weft.operators.tables import forget, shared_folder
+from weft.operators.tables import forget, shared_folder, written
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -18,9 +18,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     the rest goes with ``drop_stash``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{shared_folder(spark)}/stash-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
 
 
 def drop_stash(df: DataFrame) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one task takes apart: rows of tokens are some hundred times as large while they are sorted.
 TEXT_A_TASK = 1 << 20
+#: Whether a statement's shuffle files go as soon as it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,12 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back. Its shuffles leave the disks at once: nothing reads them again, and the driver would only remove them when it next collects its own garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written where driver and executors both see it, and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{shared_folder(spark)}/table-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
 
 
 def dealt(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
