@@ -33,6 +33,18 @@ def test_covered_by_whole_spellings(spark):
     assert rows(joins.covered(items, texts.where("false"), "id", "match", "k", "t").select("texts")) == [(0,)] * 5
 
 
+def test_words_settle_spellings_of_one_part(spark, monkeypatch):
+    """Only spellings of several parts are looked for in whole texts, whose rows then stand once for a text; words that settle the same items are told as one."""
+    tables, keep = [], joins.saved
+    monkeypatch.setattr(joins, "saved", lambda df: tables.append(keep(df)) or tables[-1])
+    items = spark.createDataFrame([(1, ["the"], False), (2, ["The", "ne"], True), (3, ["a b"], False), (4, ["c d e", "the"], True)], "id long, match array<string>, whole boolean")
+    texts = spark.createDataFrame([(1, "other lathe (ne)"), (2, "the\tNE"), (3, "aa bc d e"), (4, "xa  by"), (None, "the")], "k long, t string")
+    report = joins.covered(items, texts, "id", "match", "k", "t", "whole")
+    assert rows(report) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 2, 1)]
+    met = {r.k: (sorted(r.like), sorted(a.m for a in r.asked)) for t in tables if "like" in t.columns and "asked" in t.columns and "k" in t.columns for r in t.collect()}
+    assert met == {1: (["(ne)", "lathe"], []), 2: (["(ne)", "the"], []), 3: ([], ["a b", "c d e"]), 4: ([], ["a b"])}
+
+
 def test_numbering_has_no_gaps(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("k"), "id")
     got = [tuple(r) for r in numbering.numbered(df, ("k", "id"), "n").collect()]

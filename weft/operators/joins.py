@@ -10,10 +10,6 @@ from weft.operators.numbering import numbered
 from weft.operators.tables import saved, unsent
 
 
-#: Copies of a text that verify spellings side by side.
-SHARES = 8
-
-
 def hotspots(history: DataFrame, quality: DataFrame) -> DataFrame:
     """file, commits, score: commits times complexity, or lines by 50 where that is unknown."""
     weight = F.coalesce(F.nullif("complexity", F.lit(0)), F.nullif(F.ceil(F.col("lines") / 50), F.lit(0)), F.lit(1))
@@ -25,45 +21,62 @@ def _grams(text: Column, length: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
+def _runs(word: str, most: int) -> Column:
+    """Distinct runs of 1 to ``most`` characters of a word."""
+    run = lambda size: F.when(F.length(word) >= size, F.transform(F.sequence(F.lit(1), F.length(word) - (size - 1)), lambda i: F.substring(F.col(word), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[run(size) for size in range(1, most + 1)]))
+
+
 def covered(items: DataFrame, texts: DataFrame, item_key: str, match: str, text_key: str, text: str, whole: str | None = None, gram: int = 4) -> DataFrame:
     """item, first text that holds one of its spellings, number of such texts; 0 and null for an item without any.
 
     Case and runs of white space don't count. A spelling may have several words and may
     stand inside a word, unless the column ``whole`` is true for its item. Texts and
-    spellings meet through the words of the texts: a spelling of three parts or more holds
-    whole words, of which the one that fewest texts have stands for it; another is
-    looked up among the distinct words of all texts, by a run of ``gram`` characters, and met through its rarer part. What meets is
-    then verified on the whole text, all spellings of a text together. Empty spellings and null texts don't count.
+    spellings meet through the words of the texts, in one join. A spelling of one part is looked up among the
+    distinct words of all texts, by a run of ``gram`` characters: a word that holds it settles every text with that word.
+    One of three parts or more holds whole words, of which the one that fewest texts have stands for it; one of two is
+    met through its rarer part. What meets so is verified on the whole text, all spellings of a text together. Empty
+    spellings, null texts and texts without a key don't count.
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     wanted = items.select(item_key, (F.col(whole) if whole else F.lit(False)).alias("whole"), F.explode(match).alias("m"))
-    wanted = wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct()
-    own = texts.select(text_key, fold(text).alias("t")).where("t <> ''")
+    wanted = saved(wanted.select(item_key, "whole", fold("m").alias("m")).where("m <> ''").distinct().withColumn("parts", F.split("m", " ")))
+    own = texts.where(F.col(text_key).isNotNull()).select(text_key, fold(text).alias("t")).where("t <> ''")
     words = saved(own.select(text_key, F.explode(F.array_distinct(F.split("t", " "))).alias("word")))
     vocabulary = saved(words.groupBy("word").agg(F.count("*").alias("n")))
-    spellings = wanted.select("m").distinct().withColumn("parts", F.split("m", " "))
+    spellings = wanted.select("m", "parts").distinct()
     inner = spellings.where(F.size("parts") > 2).select("m", F.explode(F.slice("parts", F.lit(2), F.size("parts") - 2)).alias("word"))
-    chosen = inner.join(vocabulary, "word", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).getField("word").alias("word"))
+    chosen = inner.join(unsent(vocabulary), "word", "left").groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).getField("word").alias("word"))
     # Of two parts, the first ends a word and the last begins one; the part whose words fewer texts have stands for the spelling.
-    short = spellings.where(F.size("parts") < 3).select("m", F.posexplode("parts").alias("at", "needle"), (F.size("parts") == 1).alias("alone"))
+    short = spellings.where(F.size("parts") < 3).select(F.posexplode("parts").alias("at", "needle"), "m", (F.size("parts") == 1).alias("alone"))
     fits = F.when(F.col("alone"), F.contains("word", "needle")).when(F.col("at") == 0, F.endswith("word", "needle")).otherwise(F.startswith("word", "needle"))
-    held = None
-    for size in range(1, gram + 1):  # over the distinct words only
-        needles = short.where(F.length("needle") >= gram if size == gram else F.length("needle") == size).withColumn("g", F.left("needle", F.lit(size)))
-        found = vocabulary.select("word", "n", F.explode(F.array_distinct(_grams(F.col("word"), size))).alias("g")).join(needles, "g").where(fits).select("m", "at", "word", "n")
-        held = found if held is None else held.unionByName(found)
-    held = saved(held)
-    sums = short.select("m", "at").join(held.groupBy("m", "at").agg(F.sum("n").alias("n")), ["m", "at"], "left").groupBy("m").agg(F.min_by("at", F.struct(F.coalesce("n", F.lit(0)), "at")).alias("at"))
-    chosen = chosen.unionByName(held.join(sums, ["m", "at"]).select("m", "word"))
+    # Tables of spellings grow with the items alone and are saved, so Spark knows their sizes; those of words and texts are never sent.
+    needles = saved(short.withColumn("g", F.left("needle", F.lit(gram))))
+    runs = vocabulary.select("word", "n", F.explode(_runs("word", gram)).alias("g"))
+    held = saved(runs.join(needles, "g").where(fits).select("m", "at", "word", "n", "alone"))
+    double = needles.where("NOT alone").select("m", "at").join(held.where("NOT alone").groupBy("m", "at").agg(F.sum("n").alias("n")), ["m", "at"], "left")
+    sums = saved(double.groupBy("m").agg(F.min_by("at", F.struct(F.coalesce("n", F.lit(0)), "at")).alias("at")))
+    chosen = chosen.unionByName(held.join(sums, ["m", "at"]).where("NOT alone").select("m", "word"))
     edge = r"(?:^|$|[^\p{L}\p{N}])"
     quoted = lambda m: F.concat(F.lit(edge + r"\Q"), F.regexp_replace(m, r"\\E", ""), F.lit(r"\E" + edge))
     # The plain search comes first: only what it finds is worth a pattern of its own.
-    holds = lambda a: F.when(F.contains(F.col("t"), a["m"]), ~a["whole"] | F.regexp_like(F.col("t"), quoted(a["m"]))).otherwise(F.lit(False))
-    # A text is verified with many spellings at once: it is copied SHARES times at most, however many meet it.
-    met = chosen.join(words, "word").join(wanted.select("m", "whole").distinct(), "m").select(text_key, F.struct("m", "whole").alias("a"), (F.abs(F.hash("m")) % SHARES).alias("share"))
-    asked = met.groupBy(text_key, "share").agg(F.collect_set("a").alias("asked"))
-    verified = asked.join(own, text_key).select(text_key, F.explode(F.filter("asked", holds)).alias("a")).select(text_key, "a.m", "a.whole")
-    hits = verified.join(wanted, ["m", "whole"]).select(item_key, text_key).distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
+    holds = lambda t, m, whole: F.when(F.contains(t, m), ~whole | F.regexp_like(t, quoted(m))).otherwise(F.lit(False))
+    # The ends of a word are those of a text or white space, so what holds in the word holds in the text.
+    alone = held.where("alone").select("m", "word").join(wanted.select("m", "whole").distinct(), "m").where(holds(F.col("word"), F.col("m"), F.col("whole")))
+    settled = saved(alone.join(wanted, ["m", "whole"]).groupBy("word").agg(F.array_sort(F.collect_set(item_key)).alias("items")))
+    # Many words settle the same items: the least of them stands for all, so that texts needn't carry the items.
+    lists = saved(settled.groupBy("items").agg(F.min("word").alias("like")))
+    asked = chosen.join(wanted.select("m", "whole").distinct(), "m").groupBy("word").agg(F.collect_set(F.struct("m", "whole")).alias("asked"))
+    known = saved(settled.join(unsent(lists), "items").select("word", "like").join(unsent(asked), "word", "full_outer"))
+    # Nulls are left out of what is collected: a word settles items, asks for a look at the text, or both.
+    gathered = [F.collect_set("like").alias("like"), F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")]
+    # Dealt by text first: the rows are smaller than sets that are half collected.
+    met = saved(words.join(unsent(known), "word").select(text_key, "like", "asked").repartition(F.col(text_key)).groupBy(text_key).agg(*gathered))
+    looked = met.where(F.size("asked") > 0).select(text_key, "asked").join(unsent(own), text_key)
+    verified = looked.select(text_key, F.explode(F.filter("asked", lambda a: holds(F.col("t"), a["m"], a["whole"]))).alias("a")).select(text_key, "a.m", "a.whole")
+    seen = met.select(text_key, F.explode("like").alias("like")).join(lists, "like").select(text_key, F.explode("items").alias(item_key))
+    seen = seen.unionByName(verified.join(wanted, ["m", "whole"]).select(text_key, item_key))
+    hits = seen.distinct().groupBy(item_key).agg(F.min(text_key).alias("first"), F.count("*").alias("texts"))
     return items.select(item_key).distinct().join(hits, item_key, "left").select(item_key, "first", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
